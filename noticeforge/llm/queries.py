@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeforge.llm import mixing, sitelines, splitting, survivors, tokens
+from noticeforge.llm import mixing, mojibake, sitelines, splitting, survivors, tokens
 from noticeforge.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,20 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.project_texts(*[table(spark, sf_dir, t) for t in ("crawled_pages", "attachments", "notice_docs")])
+
+
+@_query()
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled_records(_texts(spark, sf_dir))
+
+
+@_query()
+def p3_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repaired_runs(_texts(spark, sf_dir))
+
+
 P4_SQL = r"""
 WITH site AS (
   SELECT school_id, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim(base_url), '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)', 1)), '^.*@', ''), ':[0-9]*$', ''), '^www\.', '') AS site
