@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeforge.llm import mixing, mojibake, sitelines, splitting, survivors, tokens
+from noticeforge.llm import mainbody, mixing, mojibake, sitelines, splitting, survivors, tokens
 from noticeforge.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+@_query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainbody.main_lines(table(spark, sf_dir, "crawled_pages"), table(spark, sf_dir, "notice_docs"))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.project_texts(*[table(spark, sf_dir, t) for t in ("crawled_pages", "attachments", "notice_docs")])
 
