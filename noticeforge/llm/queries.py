@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeforge.llm import mainbody, mixing, mojibake, sitelines, splitting, survivors, tokens
+from noticeforge.llm import mainbody, mixing, mojibake, sentences, sitelines, splitting, survivors, tokens
 from noticeforge.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def p6_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.fused_entities(table(spark, sf_dir, "entities"))
+
+
+@_query()
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentences.split_sentences(docs, sentences.train(docs))
