@@ -1,0 +1,218 @@
+"""A small HTML tree with CSS selectors, and the page functions that need one, as Arrow functions.
+
+The tree keeps what the source says: unclosed paragraphs nest, as a lenient parser leaves them.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import pyarrow as pa
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
+
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: What is no content, where a title and a body may be, what makes a block, and labels of buttons.
+NOISE = ("script", "style", "noscript", "iframe", "nav", "header", "footer", "aside", "form", "button", ".breadcrumb", ".pagination", ".sns", ".share")
+TITLES = ("h1", ".title", ".subject", "h2", "title")
+BODIES = ("article", ".content", "#content", ".view-content", ".board-view", "main")
+BLOCKS = frozenset("p li tr h1 h2 h3 h4 h5 h6 dt dd".split())
+_BUTTON = re.compile(r"^(?:이전글|다음글|목록|수정|삭제|공유|인쇄|프린트|스크랩)$")
+_ATTACHMENT = re.compile(r"\.(?:pdf|hwpx?|docx?|xlsx?|pptx?|zip|txt|md)(?:$|[?#])", re.I)
+
+
+class Node:
+    """An element with its children; text children are strings."""
+
+    __slots__ = ("attrs", "children", "parent", "tag")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
+        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+
+    def walk(self) -> Iterator[Node]:
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+
+    def strings(self) -> Iterator[str]:
+        todo: list = [self]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, str):
+                yield node
+            else:
+                todo += reversed(node.children)
+
+    def text(self, sep: str = " ") -> str:
+        return sep.join(t for t in (s.strip() for s in self.strings()) if t)
+
+    def drop(self) -> None:
+        if self.parent:
+            self.parent.children.remove(self)
+
+
+class _Builder(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = Node("[root]", {}, None)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.children.append(node)
+        if tag not in _VOID:
+            self.at = node
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
+
+    def handle_endtag(self, tag: str) -> None:
+        node: Node | None = self.at
+        while node is not None and node.tag != tag:
+            node = node.parent
+        if node is not None and node.parent is not None:
+            self.at = node.parent
+
+    def handle_data(self, data: str) -> None:
+        self.at.children.append(data)
+
+
+def parse(page: str | None) -> Node:
+    """The tree of a page; null and broken pages give what there is."""
+    builder = _Builder()
+    builder.feed(page or "")
+    builder.close()
+    return builder.root
+
+
+_PART = re.compile(r"([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:([*^$~]?=)[\"']?([^\"'\]]*)[\"']?)?\]|:(nth-of-type|nth-last-of-type|first-of-type|last-of-type|nth-child)(?:\((\d+)\))?")
+_TESTS: dict[str, Callable[[str, str], bool]] = {
+    "=": lambda a, b: a == b, "*=": lambda a, b: b in a, "^=": lambda a, b: a.startswith(b), "$=": lambda a, b: a.endswith(b), "~=": lambda a, b: b in a.split(),
+}
+
+
+def _meets(node: Node, compound: str) -> bool:
+    for m in _PART.finditer(compound):
+        tag, ident, cls, attr, op, value, pseudo, nth = m.groups()
+        if tag and tag != "*" and node.tag != tag.lower() or ident and node.attrs.get("id") != ident or cls and cls not in node.attrs.get("class", "").split():
+            return False
+        if attr and (attr not in node.attrs or op and not _TESTS[op](node.attrs[attr], value)):
+            return False
+        if pseudo:
+            same = [c for c in (node.parent.children if node.parent else []) if isinstance(c, Node) and (pseudo == "nth-child" or c.tag == node.tag)]
+            if "last" in pseudo:
+                same.reverse()
+            if node not in same or same.index(node) + 1 != int(nth or 1):
+                return False
+    return True
+
+
+def select(root: Node, selector: str) -> list[Node]:
+    """The elements that meet a selector list: tags, classes, ids, attributes, positions, descendants and children."""
+    chains = [re.findall(r">|[^\s>]+(?:\([^)]*\))?", s) for s in selector.split(",")]
+
+    def fits(node: Node, chain: list[str]) -> bool:
+        if not _meets(node, chain[-1]):
+            return False
+        rest = chain[:-1]
+        if not rest:
+            return True
+        if rest[-1] == ">":
+            return node.parent is not None and fits(node.parent, rest[:-1])
+        up = node.parent
+        while up is not None:
+            if fits(up, rest):
+                return True
+            up = up.parent
+        return False
+
+    return [n for n in root.walk() if n is not root and any(fits(n, c) for c in chains if c)]
+
+
+def strip_noise(root: Node, noise: tuple[str, ...] = NOISE) -> Node:
+    """root without its noise elements; a void tag that wrongly holds children is unwrapped instead."""
+    for s in noise:
+        for node in select(root, s):
+            if node.tag in _VOID and node.children and node.parent:
+                at = node.parent.children.index(node)
+                node.parent.children[at : at + 1] = node.children
+            elif node.parent and node in node.parent.children:
+                node.drop()
+    return root
+
+
+def first_text(root: Node, selectors: tuple[str, ...]) -> str | None:
+    """The first text that is not blank, by selector, then by place."""
+    for s in selectors:
+        for node in select(root, s):
+            if text := " ".join(node.text().split()):
+                return text
+    return None
+
+
+def body_text(root: Node) -> str:
+    """The block texts in order, each on a line; labels of buttons and repeats of the line before are left out."""
+    body = next((n for s in BODIES for n in select(root, s)), None) or next(iter(select(root, "body")), root)
+    out: list[str] = []
+    for node in body.walk():
+        if node.tag in BLOCKS and (line := " ".join(node.text().split())) and not _BUTTON.match(line) and (not out or out[-1] != line):
+            out.append(line)
+    return "\n".join(out) or " ".join(body.text().split())
+
+
+def visible_hash(root: Node) -> str:
+    """sha256 of the visible text, blanks collapsed."""
+    return hashlib.sha256(" ".join(root.text().split()).encode()).hexdigest()
+
+
+_PAGE = T.StructType([T.StructField("title", T.StringType()), T.StructField("content", T.StringType()), T.StructField("text_hash", T.StringType()), T.StructField("links", T.ArrayType(T.StringType())), T.StructField("attachments", T.ArrayType(T.StringType()))])
+
+
+@arrow_udf(_PAGE)
+def read_page(pages: pa.Array, urls: pa.Array) -> pa.Array:
+    """title, content, text_hash, absolute links and attachment links of each page; a null page is null."""
+    out = []
+    for page, url in zip(pages.to_pylist(), urls.to_pylist(), strict=True):
+        if page is None:
+            out.append(None)
+            continue
+        root = parse(page)
+        links = []
+        for a in select(root, "a[href]"):
+            try:
+                links.append(urljoin(url or "", a.attrs["href"]))
+            except ValueError:
+                continue
+        title, digest = first_text(root, TITLES), visible_hash(root)
+        out.append({"title": title, "content": body_text(strip_noise(root)), "text_hash": digest, "links": links, "attachments": [x for x in links if _ATTACHMENT.search(x)]})
+    return pa.array(out, pa.struct([("title", pa.string()), ("content", pa.string()), ("text_hash", pa.string()), ("links", pa.list_(pa.string())), ("attachments", pa.list_(pa.string()))]))
+
+
+_ITEMS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("url", "title", "category", "author", "published")]))
+
+
+def listing_reader(row: str = "table tbody tr", link: str = "a[href]"):  # noqa: ANN201
+    """An Arrow function (page, url) -> items of a listing: each row with a link; cells by place where there are enough."""
+
+    @arrow_udf(_ITEMS)
+    def read(pages: pa.Array, urls: pa.Array) -> pa.Array:
+        out = []
+        for page, url in zip(pages.to_pylist(), urls.to_pylist(), strict=True):
+            items = []
+            for node in select(parse(page), row):
+                found = select(node, link)
+                if found:
+                    cells = [" ".join(c.text().split()) for c in select(node, "td")]
+                    items.append({
+                        "url": urljoin(url or "", found[0].attrs.get("href", "")), "title": " ".join(found[0].text().split()) or None, "category": cells[1] if len(cells) >= 5 else None,
+                        "author": cells[-2] if len(cells) >= 4 else None, "published": cells[-1] if cells else None,
+                    })
+            out.append(items)
+        return pa.array(out, pa.list_(pa.struct([(n, pa.string()) for n in ("url", "title", "category", "author", "published")])))
+
+    return read
