@@ -5,9 +5,10 @@ from __future__ import annotations
 import codecs
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -174,8 +175,9 @@ def garbled_runs(texts: DataFrame) -> DataFrame:
     odd = materialized(runs.filter(~F.col("run").rlike(_PLAIN)))
     tiled = odd.withColumn("v", _tiles(sorted(r["c"] for r in letters))("run")).filter("v is not null").select("run", "v.chain", "v.original")
     parts = odd.select("run", F.explode(F.array_distinct(F.concat(F.array("run"), F.split("run", r"[\s\p{Z}]+")))).alias("form")).filter("length(form) > 1")
+    keys = materialized(parts.select("run", "form", F.xxhash64("form").alias("h")))
     made = garbled_forms(words.filter("length(word) > 1")).select(F.xxhash64("form").alias("h"), F.length("form").alias("n"), "word", "chain").filter("n >= 3")
-    keys = parts.select("run", "form", F.xxhash64("form").alias("h"))
+    made = made.filter(_might_be("h", _filter_bits(keys)))
     # A form of several words is lost: only what all have in common would be known.
     joined = made.join(keys, "h").groupBy("run", "form").agg(F.min("chain").alias("chain"), F.min("word").alias("w1"), F.max("word").alias("w2"), F.max("n").alias("n"))
     matched = joined.filter("n >= 4 or form = run").select("run", "chain", F.when((F.col("w1") == F.col("w2")) & (F.col("form") == F.col("run")), F.col("w1")).alias("original"))
@@ -185,6 +187,33 @@ def garbled_runs(texts: DataFrame) -> DataFrame:
     return both.groupBy("run").agg(best.alias("b")).select("run", "b.chain", "b.original")
 
 
+#: Bits of the filter that spares forms no token has the way through the shuffle; 4 MB, whatever the size of the input.
+FILTER_BITS = 1 << 25
+
+
+def _filter_bits(keys: DataFrame) -> bytes:
+    """A Bloom filter (one hash) of the column h of keys: at most FILTER_BITS / 64 rows reach the driver."""
+    slot = F.pmod("h", F.lit(FILTER_BITS))
+    words = keys.select(F.shiftrightunsigned(slot, 6).alias("i"), F.expr(f"shiftleft(1L, cast(pmod(h, {FILTER_BITS}) & 63 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+    rows = words.toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[rows["i"].to_numpy()] = rows["b"].to_numpy()
+    return bits.tobytes()
+
+
+def _might_be(column: str, bits: bytes) -> Column:
+    """Whether a hash may be in the filter: never false for one that is."""
+    shared = SparkSession.active().sparkContext.broadcast(bits)
+
+    @arrow_udf(T.BooleanType())
+    def might(hashes: pa.Array) -> pa.Array:
+        table = np.frombuffer(shared.value, np.int64)
+        slot = hashes.to_numpy(zero_copy_only=False) % FILTER_BITS
+        return pa.array((table[slot >> 6] >> (slot & 63)) & 1 == 1)
+
+    return might(column)
+
+
 def garbled_records(texts: DataFrame) -> DataFrame:
     """src, rec_id of each record of texts (src, rec_id, text) that holds a garbled token; repeated rows count once."""
     found = materialized(garbled_runs(texts)).select("run")
