@@ -21,10 +21,10 @@ CHAINS: tuple[tuple[tuple[str, str], ...], ...] = (
     *((("utf-8", d),) for d in ONE_BYTE),
     *((("utf-8", d), ("utf-8", d)) for d in ("latin-1", "cp1252", "mac_roman")),
     *((("cp949", d),) for d in ONE_BYTE),
-    *((("gb18030", d),) for d in ("latin-1", "cp1252")),
+    *((("gbk", d),) for d in ("latin-1", "cp1252")),
     *((("cp932", d),) for d in ("latin-1", "cp1252")),
     *((("utf-8", d),) for d in ("cp949", "cp932", "gb18030")),
-    (("cp949", "cp932"),), (("cp949", "utf-8"),), (("cp932", "utf-8"),), (("gb18030", "utf-8"),), (("cp1252", "utf-8"),),
+    (("cp949", "cp932"),), (("cp949", "utf-8"),), (("cp932", "utf-8"),), (("gbk", "utf-8"),), (("cp1252", "utf-8"),),
 )
 #: A token is a run of characters outside ASCII: ASCII stands still under every chain, so it bounds both words and forms.
 RUN = r"[^\x00-\x7f]+"
@@ -34,8 +34,9 @@ _MARKS = r"[\p{Z}“”‘’…·•※▶■○●◆◇□△▲▼★☆♬
 _CLEAN = regex.compile(rf"(?:{_SCRIPTS}|\p{{Latin}}\p{{Latin}}?|{_MARKS})+")
 _SPLIT = regex.compile(rf"{_MARKS}+")
 _ONE_SCRIPT = regex.compile(rf"{_SCRIPTS}|\p{{Latin}}\p{{Latin}}?")
-#: The same for the JVM: a token that is clean in this sense holds no garbled form.
-_PLAIN = r"^(?:[“”‘’…·•※▶■○、。，：；！？「」『』【】（）～。]|[\x{ac00}-\x{d7a3}])+$|^(?:[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]|[“”‘’…·•※▶■○、。，：；！？「」『』【】（）～])+$|^\p{IsThai}+$|^\p{IsDevanagari}+।?$|^\p{IsArabic}+$"
+#: The same for the JVM: a token that is clean in this sense holds no garbled form. Only classes repeat, never groups, which
+#: would overflow its stack on a very long token.
+_PLAIN = "|".join(rf"^[{script}“”‘’…·•※▶■○、。，：；！？「」『』【】（）～]+$" for script in (r"\x{ac00}-\x{d7a3}", r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー")) + r"|^\p{IsThai}+$|^\p{IsDevanagari}+।?$|^\p{IsArabic}+$"
 LOST = "�"
 #: Distinct letters outside ASCII that may count as clean: more than scripts of living languages have.
 MAX_LETTERS = 60_000
@@ -51,12 +52,13 @@ _TABLES = {c: _one_byte_table(c) for c in ONE_BYTE}
 
 def garble(words: list[str], chain: tuple[tuple[str, str], ...]) -> list[str]:
     """Each word after the (encoded as, decoded as) pairs of chain; a word that can't be encoded comes out with a '?'."""
-    text = "\n".join(words)
+    # Blanks stand for what follows a word in a text: decoders of several bytes look up to three ahead.
+    text = "\n".join(words) + "\n" * 4
     for encoded, decoded in chain:
         raw = text.encode(encoded, "replace")
         text = codecs.charmap_decode(raw, "strict", _TABLES[decoded])[0] if decoded in _TABLES else raw.decode(decoded, "replace")
-    out = text.split("\n")
-    # A decoder of several bytes may swallow the separator after a broken word: then word by word.
+    out = text.split("\n")[:-4]
+    # If a broken word has swallowed its blank, word by word.
     return out if len(out) == len(words) else [garble([w], chain)[0] for w in words] if len(words) > 1 else [text.replace("\n", "")]
 
 
