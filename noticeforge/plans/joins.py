@@ -25,3 +25,12 @@ def fan_out(df: DataFrame, *cols: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *cols)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """df over all cores before costly functions: repartitioned by cols only if it has fewer partitions than the cluster has cores.
+
+    Small inputs in one file would otherwise run in one task; large ones have partitions enough and are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return fan_out(df, *cols) if df.rdd.getNumPartitions() < cores else df
