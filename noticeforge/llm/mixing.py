@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from noticeforge.llm.tokens import encode_tokens
+from noticeforge.plans.joins import spread
 from noticeforge.sources.tables import materialized
 
 #: Most listed sources: the targets and one row of sums per source are planned on the driver.
@@ -127,7 +128,7 @@ def mix_sources(
     names = spark.createDataFrame([(r["source"],) for r in rows], "source string")
     listed = docs.select("doc_id", "text", F.lower(F.trim("lang")).alias("lang"), source_key(F.col("source")).alias("source"))
     listed = listed.filter(F.length("text") > 0).join(F.broadcast(names), "source", "left_semi")
-    sized = encode_tokens(listed, "text", "n_tokens", count_only=True, **tokenizer).filter("n_tokens > 0")
+    sized = encode_tokens(spread(listed, "doc_id"), "text", "n_tokens", count_only=True, **tokenizer).filter("n_tokens > 0")
     sized = sized.select("doc_id", "source", "lang", "n_tokens", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
     one = F.min(F.struct("doc_id", "source", "lang", "n_tokens"))
     texts = materialized(sized.groupBy("h", "g").agg(one.alias("x")).select("x.*"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeforge.llm import mainbody, mixing, mojibake, sentences, sitelines, splitting, survivors, tokens
+from noticeforge.plans.joins import spread
 from noticeforge.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +36,7 @@ def oracle_sql() -> dict[str, str]:
 
 @_query()
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return tokens.encode_tokens(docs, "text", "ids").select("doc_id", "ids")
 
 
@@ -135,5 +136,5 @@ def p6_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return sentences.split_sentences(docs, sentences.train(docs))
