@@ -27,7 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="noticeforge-")
         spark.sparkContext.setCheckpointDir(root)
-    return os.path.join(root, "noticeforge", uuid.uuid4().hex)
+    return os.path.join(root, "noticeforge", spark.sparkContext.applicationId, uuid.uuid4().hex)
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Deletes all tables that this application has materialized; call it once no result that reads them is needed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.dirname(shared_dir(spark)))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialized(df: DataFrame) -> DataFrame:

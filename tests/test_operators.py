@@ -91,3 +91,15 @@ def test_stream_maintains_versions(spark: SparkSession, tmp_path: Path) -> None:
         maintain(spark.readStream.schema(schema).parquet(str(seen)), docs, str(tmp_path / "check")).awaitTermination()
         assert docs.version() == 1
         assert {r["doc_id"]: (r["miss_count"], r["expired_at"] is not None) for r in docs.read().collect()} == {1: (0, False), 2: (3, True)}
+
+
+def test_materialized_tables_are_dropped(spark: SparkSession) -> None:
+    import os
+
+    from noticeforge.sources.tables import drop_materialized, materialized
+
+    df = materialized(spark.range(3).toDF("id"))
+    path = os.path.dirname(os.path.dirname(df.inputFiles()[0].removeprefix("file://")))
+    assert df.count() == 3 and os.path.isdir(path)
+    drop_materialized(spark)
+    assert not os.path.isdir(path)
