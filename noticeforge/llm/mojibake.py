@@ -25,6 +25,7 @@ CHAINS: tuple[tuple[tuple[str, str], ...], ...] = (
     *((("cp932", d),) for d in ("latin-1", "cp1252")),
     *((("utf-8", d),) for d in ("cp949", "cp932", "gb18030")),
     (("cp949", "cp932"),), (("cp949", "utf-8"),), (("cp932", "utf-8"),), (("gbk", "utf-8"),), (("cp1252", "utf-8"),),
+    (("cp949", "gbk"),), (("cp949", "big5"),),
 )
 #: A token is a run of characters outside ASCII: ASCII stands still under every chain, so it bounds both words and forms.
 RUN = r"[^\x00-\x7f]+"
@@ -34,10 +35,13 @@ _MARKS = r"[\p{Z}“”‘’…·•※▶■○●◆◇□△▲▼★☆♬
 _CLEAN = regex.compile(rf"(?:{_SCRIPTS}|\p{{Latin}}\p{{Latin}}?|{_MARKS})+")
 _SPLIT = regex.compile(rf"{_MARKS}+")
 _ONE_SCRIPT = regex.compile(rf"{_SCRIPTS}|\p{{Latin}}\p{{Latin}}?")
-#: The same for the JVM: a token that is clean in this sense holds no garbled form. Only classes repeat, never groups, which
-#: would overflow its stack on a very long token.
+#: The same for the JVM: a token that is clean in this sense is garbled only if a whole word of it is a form of another word.
+#: Only classes repeat, never groups, which would overflow its stack on a very long token.
 _PLAIN = "|".join(rf"^[{script}“”‘’…·•※▶■○、。，：；！？「」『』【】（）～]+$" for script in (r"\x{ac00}-\x{d7a3}", r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー")) + r"|^\p{IsThai}+$|^\p{IsDevanagari}+।?$|^\p{IsArabic}+$"
 LOST = "�"
+#: Characters from which a clean-looking word that is a form of another word is no chance, and how many times as many records as
+#: its original it may stand in then. A shorter one counts only if its original stands in more records.
+LONG, LEAD = 4, 10
 #: Distinct letters outside ASCII that may count as clean: more than scripts of living languages have.
 MAX_LETTERS = 60_000
 
@@ -47,6 +51,9 @@ def _one_byte_table(codec: str) -> str:
     return "".join(chr(b) if (c := bytes([b]).decode(codec, "replace")) == LOST else c for b in range(256))
 
 
+#: The chains that end in a decoder of several bytes: only these can give words of one script. A clean word read as UTF-8 without
+#: loss is the original of its own garbled form, so those that end in UTF-8 give none.
+_WIDE = [n for n, chain in enumerate(CHAINS) if chain[-1][1] not in (*ONE_BYTE, "utf-8")]
 _TABLES = {c: _one_byte_table(c) for c in ONE_BYTE}
 
 
@@ -77,17 +84,17 @@ def _clean_words(runs: pa.Array) -> pa.Array:
 
 def _form_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = batch.column(0).to_pylist()
+        words, records = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for n, chain in enumerate(CHAINS):
-            made = [(f, w) for f, w in zip(garble(words, chain), words, strict=True) if f != w and len(f) > 1 and "?" not in f and not f.isascii()]
+            made = [(f, w, k) for f, w, k in zip(garble(words, chain), words, records, strict=True) if f != w and len(f) > 1 and "?" not in f and not f.isascii()]
             if made:
-                form, word = zip(*made, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(word, pa.string()), pa.array([n] * len(made), pa.int32())], ["form", "word", "chain"])
+                form, word, known = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(word, pa.string()), pa.array([n] * len(made), pa.int32()), pa.array(known, pa.int64())], ["form", "word", "chain", "records"])
 
 
 def garbled_forms(words: DataFrame) -> DataFrame:
-    """form, word, chain of every word (one string column) under every chain that changes it."""
-    return words.mapInArrow(_form_rows, "form string, word string, chain int")
+    """form, word, chain, records of every word (word, records) under every chain that changes it."""
+    return words.mapInArrow(_form_rows, "form string, word string, chain int, records long")
 
 
 class Tiling:
@@ -168,23 +175,38 @@ def garbled_runs(texts: DataFrame) -> DataFrame:
     if its form has at least four characters or the token is a garbled word of Hangul; letters must make up the token. A
     token with a replacement character is garbled and its original lost, unless just one word has that form. If a token has
     several originals the one that occurs as a clean word is taken, then the longest.
+
+    Clean words meet the forms too, as Hangul read in a Chinese code page is wholly Han. Which of the two words is the garbled
+    one is told by the records they stand in (LONG, LEAD); a token that holds a garbled word is garbled.
     """
-    runs = materialized(_runs(texts).select("run").distinct())
-    words = materialized(runs.select(F.explode(_clean_words("run")).alias("word")).distinct())
+    runs = materialized(_runs(texts).groupBy("run").agg(F.count("*").alias("records")))
+    in_runs = runs.select("run", "records", F.explode(_clean_words("run")).alias("word"))
+    words = materialized(in_runs.groupBy("word").agg(F.sum("records").alias("records")))
     letters = words.select(F.explode(F.split("word", "")).alias("c")).filter("c <> ''").distinct().limit(MAX_LETTERS + 1).collect()
     if len(letters) > MAX_LETTERS:
         raise ValueError(f"more than {MAX_LETTERS} clean letters")
-    odd = materialized(runs.filter(~F.col("run").rlike(_PLAIN)))
+    odd = materialized(runs.filter(~F.col("run").rlike(_PLAIN)).select("run"))
     tiled = odd.withColumn("v", _tiles(sorted(r["c"] for r in letters))("run")).filter("v is not null").select("run", "v.chain", "v.original")
     parts = odd.select("run", F.explode(F.array_distinct(F.concat(F.array("run"), F.split("run", r"[\s\p{Z}]+")))).alias("form")).filter("length(form) > 1")
     keys = materialized(parts.select("run", "form", F.xxhash64("form").alias("h")))
-    made = garbled_forms(words.filter("length(word) > 1")).select(F.xxhash64("form").alias("h"), F.length("form").alias("n"), "word", "chain").filter("n >= 3")
-    made = made.filter(_might_be("h", _filter_bits(keys)))
+    long_words = words.filter("length(word) > 1")
+    word_keys = long_words.select(F.col("word").alias("run"), F.col("records").alias("own"), F.xxhash64("word").alias("h"))
+    made = garbled_forms(long_words).select(F.xxhash64("form").alias("h"), F.length("form").alias("n"), "word", "chain", "records")
+    of_odd, of_clean = (F.col("n") >= 3) & _might_be("h", _filter_bits(keys)), F.col("chain").isin(_WIDE) & _might_be("h", _filter_bits(word_keys))
+    made = materialized(made.withColumn("of_odd", of_odd).withColumn("of_clean", of_clean).filter("of_odd or of_clean"))
     # A form of several words is lost: only what all have in common would be known.
-    joined = made.join(keys, "h").groupBy("run", "form").agg(F.min("chain").alias("chain"), F.min("word").alias("w1"), F.max("word").alias("w2"), F.max("n").alias("n"))
+    several = [F.min("chain").alias("chain"), F.min("word").alias("w1"), F.max("word").alias("w2"), F.max("n").alias("n")]
+    joined = made.filter("of_odd").join(keys, "h").groupBy("run", "form").agg(*several)
     matched = joined.filter("n >= 4 or form = run").select("run", "chain", F.when((F.col("w1") == F.col("w2")) & (F.col("form") == F.col("run")), F.col("w1")).alias("original"))
-    # Clean tokens that happen to be a form of something are no matches.
+    # Clean tokens that happen to be made of forms of letters are no matches.
     both = tiled.unionByName(matched).join(words.select(F.col("word").alias("run")), "run", "left_anti")
+    evident = F.when(F.col("n") >= LONG, F.col("own") <= LEAD * F.col("records")).otherwise(F.col("own") < F.col("records"))
+    alike = made.filter("of_clean").join(word_keys, "h").filter(evident).groupBy("run").agg(*several)
+    alike = alike.select(F.col("run").alias("word"), "chain", F.when(F.col("w1") == F.col("w2"), F.col("w1")).alias("original"))
+    alike = materialized(alike)
+    # The filter keeps runs without such a word out of the shuffle.
+    held = in_runs.filter(_might_be(F.xxhash64("word"), _filter_bits(alike.select(F.xxhash64("word").alias("h"))))).select("run", "word").join(alike, "word")
+    both = both.unionByName(held.select("run", "chain", F.when(F.col("run") == F.col("word"), F.col("original")).alias("original")))
     best = F.max(F.struct(F.col("original").isNotNull().alias("known"), F.length("original").alias("n"), "original", "chain"))
     return both.groupBy("run").agg(best.alias("b")).select("run", "b.chain", "b.original")
 
@@ -203,7 +225,7 @@ def _filter_bits(keys: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def _might_be(column: str, bits: bytes) -> Column:
+def _might_be(column: str | Column, bits: bytes) -> Column:
     """Whether a hash may be in the filter: never false for one that is."""
     shared = SparkSession.active().sparkContext.broadcast(bits)
 
@@ -216,18 +238,21 @@ def _might_be(column: str, bits: bytes) -> Column:
     return might(column)
 
 
+def _held(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """The runs of texts that may be among the found ones: the filter keeps all others out of the shuffle."""
+    return _runs(texts).filter(_might_be(F.xxhash64("run"), _filter_bits(found.select(F.xxhash64("run").alias("h")))))
+
+
 def garbled_records(texts: DataFrame) -> DataFrame:
     """src, rec_id of each record of texts (src, rec_id, text) that holds a garbled token; repeated rows count once."""
-    found = materialized(garbled_runs(texts)).select("run")
-    odd = _runs(texts).filter(~F.col("run").rlike(_PLAIN))
-    return odd.join(found, "run", "left_semi").select("src", "rec_id").distinct()
+    found = materialized(garbled_runs(texts).select("run"))
+    return _held(texts, found).join(found, "run", "left_semi").select("src", "rec_id").distinct()
 
 
 def repaired_runs(texts: DataFrame) -> DataFrame:
     """src, rec_id, run, original: the garbled tokens of each record with their verified originals (null where lost)."""
     found = materialized(garbled_runs(texts))
-    odd = _runs(texts).filter(~F.col("run").rlike(_PLAIN))
-    return odd.join(found, "run").select("src", "rec_id", "run", "original").distinct()
+    return _held(texts, found).join(found, "run").select("src", "rec_id", "run", "original").distinct()
 
 
 def project_texts(pages: DataFrame, attachments: DataFrame, docs: DataFrame) -> DataFrame:

@@ -31,6 +31,17 @@ def test_originals_come_back(spark: SparkSession) -> None:
     assert got == {"ì‹\xa0ì²\xadì„œë¥¼": "신청서를", "Ã©": "é", "��": None}
 
 
+def test_hangul_read_as_chinese(spark: SparkSession) -> None:
+    bad = ["신청서를".encode("cp949").decode("gbk"), "공지".encode("cp949").decode("gbk"), "바랍니다".encode("cp949").decode("big5"), "붙임·최종".encode("cp949").decode("gbk")]
+    assert all(m.clean_words(b) for b in bad)
+    df = texts(spark, *bad, *["공지 붙임 최종"] * 2)
+    assert {tuple(r) for r in m.garbled_records(df).collect()} == {("x", i) for i in range(4)}
+    got = {r["run"]: r["original"] for r in m.repaired_runs(df).collect()}
+    assert got == {bad[0]: "신청서를", bad[1]: "공지", bad[2]: "바랍니다", bad[3]: None}
+    # A Chinese word that is far commoner than the Hangul it happens to be a form of is none.
+    assert m.garbled_records(texts(spark, *[bad[0]] * 11, *[bad[1]] * 2)).count() == 0
+
+
 def test_clean_and_odd_input(spark: SparkSession) -> None:
     assert m.garbled_records(texts(spark)).count() == 0
     assert m.garbled_records(texts(spark, "", "a" * 200_000, "가" * 100_000)).count() == 0
