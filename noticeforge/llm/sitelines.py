@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -30,7 +30,10 @@ _MASKS = (
     (re.compile(r"\b[A-ZÀ-ÖØ-Þ][\w'’-]*"), "@"),
     (re.compile(r"\d+(?:[.,:/-]\d+)*"), "0"),
 )
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 6, 2
+SHINGLE, SIMILARITY = 5, 0.8
+#: Counters of shingles by which their minima are ordered, 4 MB whatever the input, and the classes (one of so many) they are
+#: counted in. Any order finds every pair; one that puts frequent shingles last keeps buckets small.
+SLOTS, COUNTED = 1 << 20, 16
 #: Rows (one or two numbers each) of near-duplicate classes up to which they are broadcast, 25 MB at most. Beyond, the joins
 #: shuffle; a bound of 50,000 makes them do so earlier, which costs more disk than it saves in broadcasts.
 NEAR_ROWS = 1_000_000
@@ -102,22 +105,49 @@ def _shingles(lines: pa.Array) -> pa.Array:
     return _lists(*shingles(lines.to_pylist()))
 
 
-@arrow_udf(T.ArrayType(T.LongType()))
-def _bands(lines: pa.Array) -> pa.Array:
-    """BANDS hashes of ROWS minima each; a single shingle is its own only band."""
-    if not len(lines):
-        return _lists(np.zeros(0), np.zeros(0, np.int64))
-    values, sizes = shingles(lines.to_pylist())
-    starts = np.cumsum(sizes) - sizes
-    seeds = np.random.default_rng(20_240_501).integers(1, 2**63, (BANDS * ROWS, 2), dtype=np.uint64)
-    minima = []
-    for a, b in seeds:
-        mixed = (values ^ (values >> np.uint64(29))) * (a | np.uint64(1)) + b
-        minima.append(np.minimum.reduceat(mixed ^ (mixed >> np.uint64(32)), starts))
-    out = np.stack([minima[k * ROWS] * np.uint64(0x9E3779B97F4A7C15) + minima[k * ROWS + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k) for k in range(BANDS)], 1)
-    out[sizes == 1, 0] = values[starts[sizes == 1]]
-    kept = np.where(sizes == 1, 1, BANDS)
-    return _lists(out[np.arange(BANDS)[None, :] < kept[:, None]], kept)
+def _bands_by(counts: bytes | None):  # noqa: ANN202
+    """Bands of lines: the hash of the whole set of shingles, and of four shingles or more its first ones in the order of counts.
+
+    Sets of similarity SIMILARITY have so many shingles in common that those a set may lack, and one more, hold a common one:
+    of n shingles the first n - ceil(SIMILARITY n) + 1. Sets of three or fewer are similar only to themselves.
+    """
+    shared = counts and SparkSession.active().sparkContext.broadcast(counts)
+
+    @arrow_udf(T.ArrayType(T.LongType()))
+    def bands(lines: pa.Array) -> pa.Array:
+        if not len(lines):
+            return _lists(np.zeros(0), np.zeros(0, np.int64))
+        values, runs = shingles(lines.to_pylist())
+        owner = np.repeat(np.arange(len(runs)), runs)
+        often = np.frombuffer(shared.value, np.int32)[(values % np.uint64(SLOTS)).astype(np.int64)] if shared else np.zeros(len(values), np.int32)
+        order = np.lexsort((values, often, owner))
+        values, owner = values[order], owner[order]
+        new = np.concatenate([[True], (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])])
+        values, owner = values[new], owner[new]
+        n = np.bincount(owner, minlength=len(runs))
+        starts = np.cumsum(n) - n
+        mixed = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        whole = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts) + n.astype(np.uint64)
+        first = np.where(n > 3, n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1, 0)
+        kept = np.arange(len(values)) - np.repeat(starts, n) < np.repeat(first, n)
+        at = np.cumsum(first) - first
+        return _lists(np.insert(values[kept], at, whole), first + 1)
+
+    return bands
+
+
+#: In the order of the hashes alone.
+_bands = _bands_by(None)
+
+
+def _frequencies(classes: DataFrame) -> bytes:
+    """How often shingles stand in one of COUNTED classes, by SLOTS: at most that many rows reach the driver."""
+    some = classes.filter(F.pmod(F.xxhash64("k"), F.lit(COUNTED)) == 0).select(F.explode(_shingles("sample")).alias("h"))
+    # The low bits are those of the unsigned hash.
+    rows = some.groupBy(F.col("h").bitwiseAND(SLOTS - 1).cast("int").alias("slot")).agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int32)
+    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    return counts.tobytes()
 
 
 def site_docs(docs: DataFrame, schools: DataFrame) -> DataFrame:
@@ -138,21 +168,28 @@ def excessive(counted: DataFrame, documents: DataFrame, min_docs: int = 5, min_s
 
 
 def near_pairs(classes: DataFrame) -> DataFrame:
-    """k, head: line classes (site, k, sample) and the smallest class that they meet in a band and are similar to.
+    """k, head: all pairs of line classes (site, k, sample) that are similar; equal sets of shingles with the smallest of them only.
 
-    Classes of a site that agree in a band are compared with the band's smallest one, never with each other.
+    Each set is compared with every other one of the site that it meets in a band (_bands_by), which misses no similar pair.
     """
-    banded = classes.select("k", "site", F.posexplode(_bands("sample")).alias("band", "sig")).select("k", F.xxhash64("site", "band", "sig").alias("bucket"))
-    # One exchange by bucket serves both the heads and their join; a row is two numbers and is streamed, however hot its bucket.
-    banded = fan_out(banded, "bucket")
-    heads = banded.groupBy("bucket").agg(F.min("k").alias("head"), F.max("k").alias("last")).filter("head <> last").drop("last")
+    banded = materialized(classes.select("k", F.xxhash64("site").alias("site"), _bands_by(_frequencies(classes))("sample").alias("bands")))
+    # One exchange by set serves both the heads and their join; a row is two numbers and is streamed, however hot its set.
+    whole = fan_out(banded.select("k", F.xxhash64("site", F.col("bands")[0]).alias("whole")), "whole")
+    heads = whole.groupBy("whole").agg(F.min("k").alias("head"), F.max("k").alias("last")).filter("head <> last").drop("last")
+    same = materialized(whole.join(heads.hint("shuffle_hash"), "whole").filter("k <> head").select("k", "head"))
+    several = F.size("bands")
+    heads = banded.filter(several > 1).join(same.select("k"), "k", "left_anti")
+    met = fan_out(heads.select("k", several.alias("n"), F.explode(F.slice("bands", 2, several - 1)).alias("band"), "site").select("k", "n", F.xxhash64("site", "band").alias("bucket")), "bucket")
+    # The number of bands tells that of the shingles within five; a set of less than SIMILARITY of the other's size is not similar.
+    close = 5 * F.least("n", "n2") - 6 >= SIMILARITY * 5 * (F.greatest("n", "n2") - 2)
+    other = met.select(F.col("k").alias("head"), F.col("n").alias("n2"), "bucket")
     # Several bands find the same pair; it is compared once.
-    found = materialized(banded.join(heads.hint("shuffle_hash"), "bucket").filter("k <> head").select("k", "head").distinct())
+    found = materialized(met.join(other, "bucket").filter((F.col("head") < F.col("k")) & close).select("k", "head").distinct())
     named, _ = small_side(found.select(F.explode(F.array("k", "head")).alias("k")).distinct(), NEAR_ROWS)
     texts = materialized(classes.join(named, "k", "left_semi").select("k", _shingles("sample").alias("sh")))
     both = found.join(texts, "k").join(texts.select(F.col("k").alias("head"), F.col("sh").alias("sh2")), "head")
     alike = F.size(F.array_intersect("sh", "sh2")) / F.size(F.array_union("sh", "sh2")) >= SIMILARITY
-    return both.filter(alike).select("k", "head")
+    return both.filter(alike).select("k", "head").unionByName(same)
 
 
 def connected(pairs: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame:
@@ -175,7 +212,7 @@ def repeated_lines(docs: DataFrame, schools: DataFrame, exact: bool = True, min_
     """site, doc_id, line_no, k, cluster: each occurrence of an excessively repeated line.
 
     Lines of a site with one key (line_keys) are one class, and a document counts once for it. The classes' masked words give
-    5-word shingles and BANDS x ROWS minima; classes of Jaccard similarity SIMILARITY or more are clustered. A cluster is
+    5-word shingles and their minima; classes of Jaccard similarity SIMILARITY or more are clustered. A cluster is
     excessive if at least min_docs and min_share of the site's documents hold any of its lines, and its lines are found. With
     `exact` the line's own class must be excessive too. Lines with fewer than two letters never count; a line of fewer than
     five words joins only lines of the same masked words. Documents of schools without a website hold no line, nor does a

@@ -51,6 +51,19 @@ def test_near_lines_are_one_cluster(spark: SparkSession) -> None:
     assert clean[0] == docs[0][2].split("\n")[1]
 
 
+def test_every_similar_pair_is_found(spark: SparkSession) -> None:
+    rnd = random.Random(7)
+    lines, common = [], "all of these words stand in each line and fill its buckets".split()
+    for _ in range(25):
+        own = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(rnd.choice([8, 14, 30, 60]))]
+        lines += [" ".join([*own, *common, *["x"] * j]) for j in range(4)] + [" ".join([*common, *own[:j], "y", *own[j:]]) for j in (0, 3)]
+    sets = [set(s.shingles([x])[0].tolist()) for x in lines]
+    want = {(j, i) for i in range(len(lines)) for j in range(len(lines)) if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    classes = spark.createDataFrame([("a.x", i, x) for i, x in enumerate(lines)] + [("b.x", 1000 + i, x) for i, x in enumerate(lines)], "site string, k long, sample string")
+    got = {tuple(r) for r in s.near_pairs(classes).collect()}
+    assert len(want) > 50 and got == want | {(j + 1000, i + 1000) for j, i in want}
+
+
 def test_connected_finds_long_chains(spark: SparkSession) -> None:
     pairs = list(pairwise(range(100, 160))) + [(1, 2), (5, 5)]
     got = {r["k"]: r["cluster"] for r in s.connected(spark.createDataFrame(pairs, "k long, head long"), "k", "head").collect()}
