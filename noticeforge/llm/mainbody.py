@@ -27,6 +27,9 @@ ALL_LINES = 200
 COMMON_PATHS = 5_000
 #: A line that stands in this share of a host's texts, or of its pages' main bodies (and in MIN_DOCS at least), is the site's.
 TEXT_SHARE, PAGE_SHARE, MIN_DOCS = 0.2, 0.5, 5
+#: A line belongs to the frame if MIN_DOCS pages, this share of the host's pages with a main body, and this share of the pages
+#: that show it have it outside of the main body.
+FRAME_SHARE, OUTSIDE_SHARE = 0.01, 0.8
 #: What stands before the title of a neighbouring notice, and separators of menus and of the way to a page.
 _NEIGHBOUR = r"(?:이전\s?글|다음\s?글|이전|다음|윗글|아랫글|prev(?:ious)?|next|[▲▼△▽∧∨])\s*[:：|]?\s+\S|^(?:이전글|다음글)\S"
 _MENU_SEP = r"\s+[|·>»›/ㅣ]\s+|\s*[|>»›]\s*"
@@ -201,8 +204,8 @@ def main_lines(pages: DataFrame, docs: DataFrame) -> DataFrame:
     without the paths inside it that are noise (host_paths, pick). A page whose main body is one line without a heading that
     other pages show as their only one too (a message) has none. Lines that stand in PAGE_SHARE of a host's bodies are the site's.
 
-    Texts have no containers: of their lines those go that pages of the host show outside their main bodies (whole lines, and
-    menus all of whose parts are such lines), those that stand in TEXT_SHARE of the host's texts, lines of buttons, neighbours'
+    Texts have no containers: of their lines those go that are the frame of the host's pages (whole lines, and menus all of
+    whose parts are such lines), those that stand in TEXT_SHARE of the host's texts, lines of buttons, neighbours'
     titles behind a sign for the next or the previous notice, and the way to the page (parts joined by '>').
 
     Null pages and texts give no line; repeated rows count once. A host that no URL tells is the school.
@@ -229,8 +232,7 @@ def main_lines(pages: DataFrame, docs: DataFrame) -> DataFrame:
     web = materialized(web.select("doc_id", "host", _text_lines("content").alias("lines")))
     texts = web.select("doc_id", "host", F.explode("lines").alias("x")).select("doc_id", "host", "x.text", "x.k", "x.parts")
     site_text = _frequent(texts, "doc_id", web, TEXT_SHARE)
-    frame = bodies.select("host", "page_id", F.explode("outside").alias("k")).groupBy("host", "k").agg(F.count_distinct("page_id").alias("n")).filter(f"n >= {MIN_DOCS}")
-    frame = frame.select("host", "k").union(site_text.select("host", "k"))
+    frame = _frame_lines(bodies).union(site_text.select("host", "k"))
     frames, _ = small_side(frame.groupBy("host").agg(F.collect_set("k").alias("frame")), 20_000)
     texts = texts.join(frames, "host", "left").withColumn("frame", F.coalesce("frame", F.array().cast("array<bigint>")))
     menu = (F.size("parts") > 1) & F.forall("parts", lambda p: (p == 0) | F.array_contains("frame", p))
@@ -243,6 +245,19 @@ def main_lines(pages: DataFrame, docs: DataFrame) -> DataFrame:
     return from_pages.unionByName(from_texts).distinct()
 
 
+def _frame_lines(bodies: DataFrame) -> DataFrame:
+    """host, k of the lines of a host's frame (MIN_DOCS, FRAME_SHARE, OUTSIDE_SHARE).
+
+    bodies has page_id, host, body and outside (hashes of the lines outside the body). Pages without a body tell nothing.
+    """
+    told = bodies.filter(F.size("body") > 0)
+    sides = F.concat(F.transform("outside", lambda k: F.struct(k.alias("k"), F.lit(True).alias("out"))), F.transform(F.array_distinct(F.transform("body", lambda x: x["k"])), lambda k: F.struct(k.alias("k"), F.lit(False).alias("out"))))
+    shown = told.select("host", "page_id", F.explode(sides).alias("x")).groupBy("host", "x.k").agg(F.count_distinct(F.when(F.col("x.out"), F.col("page_id"))).alias("n"), F.count_distinct("page_id").alias("pages"))
+    totals, _ = small_side(told.groupBy("host").agg(F.count_distinct("page_id").alias("records")))
+    most = (F.col("n") >= FRAME_SHARE * F.col("records")) & (F.col("n") >= OUTSIDE_SHARE * F.col("pages"))
+    return shown.filter(F.col("n") >= MIN_DOCS).join(totals, "host").filter(most).select("host", "k")
+
+
 def _frequent(lines: DataFrame, record: str, records: DataFrame, share: float) -> DataFrame:
     """host, k, site (true) of the lines that stand in that share of a host's records; broadcast if their number allows."""
     totals, _ = small_side(records.groupBy("host").agg(F.count_distinct(record).alias("records")))

@@ -49,6 +49,17 @@ def test_texts(spark: SparkSession) -> None:
     assert {(r["rec_id"], r["line_text"]) for r in out} == {(i, t) for i in range(20) for t in (f"제목 {'가나다라마바사아자차'[i % 10] * (i + 1)}", f"본문 {'xyz'[i % 3] * (i + 2)}")}
 
 
+def test_a_few_misread_pages_are_no_frame(spark: SparkSession) -> None:
+    often, rare = "많은 참여 바랍니다 여러분", "서류를 방문 제출하시기 바랍니다"
+    pages = [(i, 1, f"http://a.x/{i}", page(i, body(i) + (f"<p>{often}</p>" if i % 2 else ""), f"<div id='etc'>{often}</div>" if i in range(0, 12, 2) else ""), "h", 1) for i in range(60)]
+    # Pages of menus alone have no main body; what they show tells nothing.
+    pages += [(100 + i, 1, f"http://a.x/m{i}", f"<div class='menu1'><ul><li><a href='/a'>입학 안내</a><li><a href='/c'>{rare}</a></ul></div>", "h", 1) for i in range(6)]
+    docs = [(i, 1, "http://a.x/d", "web", f"입학 안내\n제목 {'가나다라마바사아자차'[i] * 5}" + (f"\n{often}\n{rare}" if i == 3 else ""), 1) for i in range(10)]
+    out = main_lines(spark.createDataFrame(pages, PAGES), spark.createDataFrame(docs, DOCS)).filter("src = 'notice_docs'").collect()
+    got = {(r["rec_id"], r["line_text"]) for r in out}
+    assert {(3, often), (3, rare)} <= got and not any(t == "입학 안내" for _, t in got)
+
+
 def test_empty(spark: SparkSession) -> None:
     assert main_lines(spark.createDataFrame([], PAGES), spark.createDataFrame([], DOCS)).count() == 0
 
