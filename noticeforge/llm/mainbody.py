@@ -19,12 +19,10 @@ from noticeforge.sources.tables import materialized
 
 #: Part of its lines from which a path counts as boilerplate: linked text, or lines that stand there again and again.
 LINKED, REPEATED = 0.5, 0.5
-#: Lines from which a host's own figures about a path count; with fewer, those of the path on all hosts do.
+#: Lines from which a host's own figures about noise count; with fewer, those of the path on all hosts do. Its votes always count.
 OWN_LINES = 30
 #: The same for the figures of a path on all hosts; with fewer, those of all paths that end in the same container do.
 ALL_LINES = 200
-#: Paths of all hosts together that serve where a host has too few pages of its own.
-COMMON_PATHS = 5_000
 #: A line that stands in this share of a host's texts, or of its pages' main bodies (and in MIN_DOCS at least), is the site's.
 TEXT_SHARE, PAGE_SHARE, MIN_DOCS = 0.2, 0.5, 5
 #: A line belongs to the frame if MIN_DOCS pages, this share of the host's pages with a main body, and this share of the pages
@@ -99,15 +97,17 @@ def _best_container(lines: Column) -> Column:
     return F.array_max(F.transform(paths, lambda p: F.struct(score(p).alias("score"), p.alias("path"))))
 
 
-_RULE = T.MapType(T.StringType(), T.StructType([T.StructField("votes", T.LongType()), T.StructField("noise", T.BooleanType())]))
+_RULE = T.MapType(T.StringType(), T.StructType([T.StructField("rank", T.LongType()), T.StructField("noise", T.BooleanType())]))
 
 
-def host_paths(parsed: DataFrame) -> tuple[DataFrame, dict[str, tuple[int, bool | None]]]:
-    """(rules, common): per host a map of path -> (votes, noise), and the same over all hosts for the commonest paths.
+def host_paths(parsed: DataFrame) -> DataFrame:
+    """host, rule: per host a map of path -> (rank, noise) of all paths of its pages.
 
     A page votes for its best container. A path is noise where most of its text is linked, or most of its lines are repeats of
-    lines of the same path on the host. Lines are combined by (host, path, line) on the map side; a map holds the generalised
-    paths of one host, which its templates bound.
+    lines of the same path on the host; where the host has too few lines of it, the path's figures on all hosts tell, and then
+    those of all paths that end in the same container. Votes of all hosts count far less than the host's own.
+    Lines are combined by (host, path, line) on the map side; a map holds the generalised paths of one host, which its templates
+    bound.
     """
     lines = parsed.select("host", F.explode("lines").alias("x")).select("host", "x.path", "x.k", F.length("x.text").alias("len"), "x.linked")
     kinds = lines.groupBy("host", "path", "k").agg(F.count("*").alias("n"), F.sum("len").alias("len"), F.sum("linked").alias("linked"))
@@ -116,59 +116,50 @@ def host_paths(parsed: DataFrame) -> tuple[DataFrame, dict[str, tuple[int, bool
     votes = parsed.select("host", _best_container(F.col("lines"))["path"].alias("path")).filter("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes"))
     per_host = materialized(own.join(votes, ["host", "path"], "left").withColumn("votes", F.coalesce("votes", F.lit(0).cast("long"))))
     noisy = (F.col("linked") > LINKED * F.col("len")) | (F.col("n") - F.col("kinds") > REPEATED * F.col("n"))
-    everywhere = per_host.groupBy("path").agg(*[F.sum(c).alias(c) for c in ("n", "kinds", "len", "linked", "votes")]).withColumn("noise", noisy)
-    ends = everywhere.groupBy(F.concat(F.lit("* "), F.substring_index("path", " ", -1)).alias("path")).agg(*[F.sum(c).alias(c) for c in ("n", "kinds", "len", "linked")], F.lit(0).cast("long").alias("votes")).withColumn("noise", noisy)
-    common = {}
-    for figures, least in ((everywhere, ALL_LINES), (ends, OWN_LINES)):
-        top = figures.orderBy(F.desc("n"), "path").limit(COMMON_PATHS).collect()
-        common |= {r["path"]: (r["votes"], r["noise"] if r["n"] >= least else None) for r in top}
-    told = per_host.filter(F.col("n") >= OWN_LINES).withColumn("noise", noisy)
-    rules = told.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", F.struct("votes", "noise")))).alias("rule"))
-    return rules, common
-
-
-def pick(lines: list[dict], rule: dict, common: dict[str, tuple[int, bool | None]]) -> tuple[list[int], int]:
-    """(indices of the lines of the main body, votes of its path) of one page's parsed lines."""
-
-    def told(path: str) -> tuple[int, bool]:
-        r = rule.get(path)
-        if r is not None:
-            return r["votes"], r["noise"]
-        votes, noise = common.get(path, (0, None))
-        return votes, bool(common.get("* " + path.rpartition(" ")[2], (0, False))[1]) if noise is None else noise
+    ending = F.substring_index("path", " ", -1)
 
+    def noise(least: int) -> Column:
+        return F.when(F.col("n") >= least, noisy)
+
+    totals = [F.sum(c).alias(c) for c in ("n", "kinds", "len", "linked", "votes")]
+    everywhere = per_host.groupBy("path").agg(*totals)
+    ends = everywhere.groupBy(ending.alias("ending")).agg(*totals).select("ending", noise(OWN_LINES).alias("by_end"))
+    # The figures of a path are one row of its own and of its ending, so both are joined before the hosts' rows meet them.
+    told = everywhere.select("path", F.col("votes").alias("all_votes"), noise(ALL_LINES).alias("by_path"), ending.alias("ending")).join(ends, "ending", "left")
+    told = told.select("path", "all_votes", F.coalesce("by_path", "by_end", F.lit(False)).alias("elsewhere"))
+    told, _ = small_side(told, 20_000)
+    figures = per_host.join(told, "path").select("host", "path", (F.col("votes") * 1_000 + F.col("all_votes")).alias("rank"), F.coalesce(noise(OWN_LINES), "elsewhere").alias("noise"))
+    return figures.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", F.struct("rank", "noise")))).alias("rule"))
+
+
+def pick(lines: list[dict], rule: dict) -> list[int]:
+    """Indices of the lines of the main body of one page's parsed lines; rule is that of its host."""
     score: dict[int, list] = {}
     for x in lines:
-        votes, noise = told(x["path"])
-        # Where the host has no vote for a path, those of all hosts count, far less.
-        rank = votes * 1_000 + common.get(x["path"], (0, False))[0]
-        if not noise and rank:
-            s = score.setdefault(x["node"], [rank, 0])
+        told = rule[x["path"]]
+        if not told["noise"] and told["rank"]:
+            s = score.setdefault(x["node"], [told["rank"], 0])
             s[1] += len(x["text"]) - 2 * x["linked"]
     if not score:
-        return [], 0
+        return []
     node = max(score, key=lambda n: (score[n][0], score[n][1], -n))
-    inside = [i for i, x in enumerate(lines) if node in x["nodes"] and (x["node"] == node or not told(x["path"])[1])]
-    return inside, score[node][0]
+    return [i for i, x in enumerate(lines) if node in x["nodes"] and (x["node"] == node or not rule[x["path"]]["noise"])]
 
 
 _BODY = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("k", T.LongType()), T.StructField("head", T.BooleanType())]))
 
 
-def _body(common: dict[str, tuple[int, bool | None]]):  # noqa: ANN202
-    def some(pages: pa.Array, rules: pa.Array) -> pa.Array:
-        out = []
-        for lines, rule in zip(pages.to_pylist(), rules.to_pylist(), strict=True):
-            lines = lines or []
-            kept, _ = pick(lines, dict(rule or []), common)
-            out.append([{"text": lines[i]["text"], "k": lines[i]["k"], "head": lines[i]["head"]} for i in kept])
-        return pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("k", pa.int64()), ("head", pa.bool_())])))
+@arrow_udf(_BODY)
+def _body(pages: pa.Array, rules: pa.Array) -> pa.Array:
+    return _in_slices(_body_slice, pages, rules)
 
-    @arrow_udf(_BODY)
-    def body(pages: pa.Array, rules: pa.Array) -> pa.Array:
-        return _in_slices(some, pages, rules)
 
-    return body
+def _body_slice(pages: pa.Array, rules: pa.Array) -> pa.Array:
+    out = []
+    for lines, rule in zip(pages.to_pylist(), rules.to_pylist(), strict=True):
+        lines = lines or []
+        out.append([{"text": lines[i]["text"], "k": lines[i]["k"], "head": lines[i]["head"]} for i in pick(lines, dict(rule or []))])
+    return pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("k", pa.int64()), ("head", pa.bool_())])))
 
 
 def _host(url: str, school: str) -> Column:
@@ -212,9 +203,8 @@ def main_lines(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """
     raw = spread(pages.filter("page_id is not null").select("page_id", _host("source_url", "school_id").alias("host"), "raw_html"), "page_id")
     parsed = materialized(raw.select("page_id", "host", _parse("raw_html").alias("lines")))
-    rules, common = host_paths(parsed)
-    rules, _ = small_side(rules, 20_000)
-    bodies = parsed.join(rules, "host", "left").select("page_id", "host", "lines", _body(common)("lines", F.coalesce("rule", F.create_map().cast(_RULE))).alias("body"))
+    rules, _ = small_side(host_paths(parsed), 20_000)
+    bodies = parsed.join(rules, "host", "left").select("page_id", "host", "lines", _body("lines", F.coalesce("rule", F.create_map().cast(_RULE))).alias("body"))
     inside = F.transform("body", lambda x: x["k"])
     # Of each page the main lines and what it shows outside of them.
     outside = F.array_except(F.transform("lines", lambda x: x["k"]), inside)

@@ -60,6 +60,17 @@ def test_a_few_misread_pages_are_no_frame(spark: SparkSession) -> None:
     assert {(3, often), (3, rare)} <= got and not any(t == "입학 안내" for _, t in got)
 
 
+def test_small_hosts_count_their_own_votes(spark: SparkSession) -> None:
+    # One page a host, each with a template of its own, whose main body stands in a path that no other host has.
+    own = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, 1, f"http://{own(i)}.x/1", f"<div class='main-{own(i)}'><h1>제목 {own(i)}</h1><p>본문 {own(i) * 9}</div>", "h", 1) for i in range(20)]
+    # Ten thousand lines of one host in paths of their own are commoner than each of these.
+    many = "".join(f"<div class='x-{own(j)}'><p>가 {own(j)}<p>나 {own(j)}<p>다 {own(j)}</div>" for j in range(5_500))
+    rows.append((100, 1, "http://big.x/1", many, "h", 1))
+    out = main_lines(spark.createDataFrame(rows, PAGES), spark.createDataFrame([], DOCS)).filter("rec_id < 100").collect()
+    assert {(r["rec_id"], r["line_text"]) for r in out} == {(i, t) for i in range(20) for t in (f"제목 {own(i)}", f"본문 {own(i) * 9}")}
+
+
 def test_empty(spark: SparkSession) -> None:
     assert main_lines(spark.createDataFrame([], PAGES), spark.createDataFrame([], DOCS)).count() == 0
 
