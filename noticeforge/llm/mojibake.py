@@ -39,9 +39,12 @@ _ONE_SCRIPT = regex.compile(rf"{_SCRIPTS}|\p{{Latin}}\p{{Latin}}?")
 #: Only classes repeat, never groups, which would overflow its stack on a very long token.
 _PLAIN = "|".join(rf"^[{script}“”‘’…·•※▶■○、。，：；！？「」『』【】（）～]+$" for script in (r"\x{ac00}-\x{d7a3}", r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー")) + r"|^\p{IsThai}+$|^\p{IsDevanagari}+।?$|^\p{IsArabic}+$"
 LOST = "�"
-#: Characters from which a clean-looking word that is a form of another word is no chance, and how many times as many records as
-#: its original it may stand in then. A shorter one counts only if its original stands in more records.
+#: Characters from which a token that is a form of another word is no chance, and how many times as many records as its original
+#: it may stand in then. A shorter one counts only if its original stands in as many records (a clean-looking one: in more), so
+#: that one odd word makes nothing garbled.
 LONG, LEAD = 4, 10
+#: How many times as many records as a pair of signs a syllable must stand in alone to be its original.
+SURE = 4
 #: Distinct letters outside ASCII that may count as clean: more than scripts of living languages have.
 MAX_LETTERS = 60_000
 
@@ -55,6 +58,10 @@ def _one_byte_table(codec: str) -> str:
 #: loss is the original of its own garbled form, so those that end in UTF-8 give none.
 _WIDE = [n for n, chain in enumerate(CHAINS) if chain[-1][1] not in (*ONE_BYTE, "utf-8")]
 _TABLES = {c: _one_byte_table(c) for c in ONE_BYTE}
+#: Chains of national code pages read byte by byte: one syllable becomes two signs, as many clean pairs of signs look.
+_PAIRS = [n for n, chain in enumerate(CHAINS) if chain[0][0] in ("cp949", "gbk", "cp932") and chain[0][1] in ONE_BYTE]
+#: Words of three or more Latin letters with marks: never taken for clean, as garbled text looks so, but their forms are looked up.
+_LATIN = r"^\p{IsLatin}{3,}$"
 
 
 def garble(words: list[str], chain: tuple[tuple[str, str], ...]) -> list[str]:
@@ -86,7 +93,12 @@ def _form_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, records = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for n, chain in enumerate(CHAINS):
-            made = [(f, w, k) for f, w, k in zip(garble(words, chain), words, records, strict=True) if f != w and len(f) > 1 and "?" not in f and not f.isascii()]
+            # Read as UTF-8 without loss, a word is the garbled form of what comes out, not the other way round.
+            lossy = chain[-1][1] == "utf-8"
+            made = [
+                (f, w, k) for f, w, k in zip(garble(words, chain), words, records, strict=True)
+                if f != w and len(f) > 1 and "?" not in f and not f.isascii() and (not lossy or LOST in f)
+            ]
             if made:
                 form, word, known = zip(*made, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(word, pa.string()), pa.array([n] * len(made), pa.int32()), pa.array(known, pa.int64())], ["form", "word", "chain", "records"])
@@ -171,37 +183,42 @@ def garbled_runs(texts: DataFrame) -> DataFrame:
 
     Every distinct clean word of all texts, and every letter of these words, is garbled under all chains. Tokens that are not
     plainly clean meet the forms of words in a hash join (on the whole token or a part between blanks), and the forms of
-    letters, a table of a few thousand letters whose size is checked, by cutting the token into them. A match of a word counts
-    if its form has at least four characters or the token is a garbled word of Hangul; letters must make up the token. A
-    token with a replacement character is garbled and its original lost, unless just one word has that form. If a token has
-    several originals the one that occurs as a clean word is taken, then the longest.
+    letters, a table of a few thousand letters whose size is checked, by cutting the token into them. Which of a token and the
+    word whose form it is is the garbled one is told by the records they stand in (LONG, LEAD; SURE for single syllables);
+    letters must make up the token. A token with a replacement character is garbled and its original lost, unless just one
+    word has that form. If a token has several originals the longest is taken.
 
-    Clean words meet the forms too, as Hangul read in a Chinese code page is wholly Han. Which of the two words is the garbled
-    one is told by the records they stand in (LONG, LEAD); a token that holds a garbled word is garbled.
+    Clean words meet the forms too, as Hangul read in a Chinese code page is wholly Han; a token that holds a garbled word is
+    garbled.
     """
     runs = materialized(_runs(texts).groupBy("run").agg(F.count("*").alias("records")))
     in_runs = runs.select("run", "records", F.explode(_clean_words("run")).alias("word"))
     words = materialized(in_runs.groupBy("word").agg(F.sum("records").alias("records")))
-    letters = words.select(F.explode(F.split("word", "")).alias("c")).filter("c <> ''").distinct().limit(MAX_LETTERS + 1).collect()
+    # Signs of text are garbled like letters.
+    signs = runs.filter(F.col("run").rlike(f"^{_MARKS}+$")).select(F.explode(F.array_distinct(F.split("run", ""))).alias("c"))
+    letters = words.select(F.explode(F.split("word", "")).alias("c")).unionByName(signs).filter("c > '\x7f'").distinct().limit(MAX_LETTERS + 1).collect()
     if len(letters) > MAX_LETTERS:
         raise ValueError(f"more than {MAX_LETTERS} clean letters")
-    odd = materialized(runs.filter(~F.col("run").rlike(_PLAIN)).select("run"))
+    odd = materialized(runs.filter(~F.col("run").rlike(_PLAIN)))
     tiled = odd.withColumn("v", _tiles(sorted(r["c"] for r in letters))("run")).filter("v is not null").select("run", "v.chain", "v.original")
-    parts = odd.select("run", F.explode(F.array_distinct(F.concat(F.array("run"), F.split("run", r"[\s\p{Z}]+")))).alias("form")).filter("length(form) > 1")
-    keys = materialized(parts.select("run", "form", F.xxhash64("form").alias("h")))
-    long_words = words.filter("length(word) > 1")
-    word_keys = long_words.select(F.col("word").alias("run"), F.col("records").alias("own"), F.xxhash64("word").alias("h"))
-    made = garbled_forms(long_words).select(F.xxhash64("form").alias("h"), F.length("form").alias("n"), "word", "chain", "records")
-    of_odd, of_clean = (F.col("n") >= 3) & _might_be("h", _filter_bits(keys)), F.col("chain").isin(_WIDE) & _might_be("h", _filter_bits(word_keys))
+    tiled = materialized(tiled)
+    parts = odd.select("run", F.col("records").alias("own"), F.explode(F.array_distinct(F.concat(F.array("run"), F.split("run", r"[\s\p{Z}]+")))).alias("form")).filter("length(form) > 1")
+    keys = materialized(parts.select("run", "own", "form", F.xxhash64("form").alias("h")))
+    latin = odd.filter(F.col("run").rlike(_LATIN)).join(tiled.select("run"), "run", "left_anti").select(F.col("run").alias("word"), "records")
+    word_keys = words.filter("length(word) > 1").select(F.col("word").alias("run"), F.col("records").alias("own"), F.xxhash64("word").alias("h"))
+    made = garbled_forms(words.unionByName(latin)).select(F.xxhash64("form").alias("h"), F.length("form").alias("n"), "word", "chain", "records")
+    of_odd = ((F.col("n") >= 3) | (F.length("word") == 1) & F.col("chain").isin(_PAIRS)) & _might_be("h", _filter_bits(keys))
+    of_clean = (F.length("word") > 1) & F.col("chain").isin(_WIDE) & _might_be("h", _filter_bits(word_keys))
     made = materialized(made.withColumn("of_odd", of_odd).withColumn("of_clean", of_clean).filter("of_odd or of_clean"))
     # A form of several words is lost: only what all have in common would be known.
     several = [F.min("chain").alias("chain"), F.min("word").alias("w1"), F.max("word").alias("w2"), F.max("n").alias("n")]
-    joined = made.filter("of_odd").join(keys, "h").groupBy("run", "form").agg(*several)
+    long = F.when(F.col("n") >= LONG, F.col("own") <= LEAD * F.col("records"))
+    evident = long.when(F.col("n") == 2, SURE * F.col("own") <= F.col("records")).otherwise(F.col("own") <= F.col("records"))
+    joined = made.filter("of_odd").join(keys, "h").filter(evident).groupBy("run", "form").agg(*several)
     matched = joined.filter("n >= 4 or form = run").select("run", "chain", F.when((F.col("w1") == F.col("w2")) & (F.col("form") == F.col("run")), F.col("w1")).alias("original"))
     # Clean tokens that happen to be made of forms of letters are no matches.
     both = tiled.unionByName(matched).join(words.select(F.col("word").alias("run")), "run", "left_anti")
-    evident = F.when(F.col("n") >= LONG, F.col("own") <= LEAD * F.col("records")).otherwise(F.col("own") < F.col("records"))
-    alike = made.filter("of_clean").join(word_keys, "h").filter(evident).groupBy("run").agg(*several)
+    alike = made.filter("of_clean").join(word_keys, "h").filter(long.otherwise(F.col("own") < F.col("records"))).groupBy("run").agg(*several)
     alike = alike.select(F.col("run").alias("word"), "chain", F.when(F.col("w1") == F.col("w2"), F.col("w1")).alias("original"))
     alike = materialized(alike)
     # The filter keeps runs without such a word out of the shuffle.
@@ -211,16 +228,18 @@ def garbled_runs(texts: DataFrame) -> DataFrame:
     return both.groupBy("run").agg(best.alias("b")).select("run", "b.chain", "b.original")
 
 
-#: Bits of the filter that spares forms no token has the way through the shuffle; 4 MB, whatever the size of the input.
-FILTER_BITS = 1 << 25
+#: Bits of the filters that spare rows without a partner the way through the shuffle: so many a key, within these bounds (0.5 and
+#: 32 MB). Beyond the upper one a filter lets more pass; it never changes a result.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 8, 1 << 22, 1 << 28
 
 
 def _filter_bits(keys: DataFrame) -> bytes:
-    """A Bloom filter (one hash) of the column h of keys: at most FILTER_BITS / 64 rows reach the driver."""
-    slot = F.pmod("h", F.lit(FILTER_BITS))
-    words = keys.select(F.shiftrightunsigned(slot, 6).alias("i"), F.expr(f"shiftleft(1L, cast(pmod(h, {FILTER_BITS}) & 63 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+    """A Bloom filter (one hash) of the column h of the materialized keys: at most MOST_BITS / 64 rows reach the driver."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * keys.count()).bit_length()))
+    slot = F.pmod("h", F.lit(size))
+    words = keys.select(F.shiftrightunsigned(slot, 6).alias("i"), F.expr(f"shiftleft(1L, cast(pmod(h, {size}) & 63 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
     rows = words.toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits = np.zeros(size // 64, np.int64)
     bits[rows["i"].to_numpy()] = rows["b"].to_numpy()
     return bits.tobytes()
 
@@ -232,7 +251,7 @@ def _might_be(column: str | Column, bits: bytes) -> Column:
     @arrow_udf(T.BooleanType())
     def might(hashes: pa.Array) -> pa.Array:
         table = np.frombuffer(shared.value, np.int64)
-        slot = hashes.to_numpy(zero_copy_only=False) % FILTER_BITS
+        slot = hashes.to_numpy(zero_copy_only=False) % (64 * len(table))
         return pa.array((table[slot >> 6] >> (slot & 63)) & 1 == 1)
 
     return might(column)

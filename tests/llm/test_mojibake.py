@@ -42,6 +42,21 @@ def test_hangul_read_as_chinese(spark: SparkSession) -> None:
     assert m.garbled_records(texts(spark, *[bad[0]] * 11, *[bad[1]] * 2)).count() == 0
 
 
+def test_one_odd_word_makes_no_common_token_garbled(spark: SparkSession) -> None:
+    odd = "★☆★".encode("cp932").decode("cp949")
+    assert m.garbled_records(texts(spark, odd, *["★☆★ 공지"] * 30)).count() == 0
+    # The garbled form of a Polish word is found, its original is not, although each is a form of the other.
+    bad = "żółć".encode().decode("cp949")
+    df = texts(spark, bad, *["żółć w"] * 15)
+    assert {tuple(r) for r in m.repaired_runs(df).select("rec_id", "run", "original").collect()} == {(0, bad, "żółć")}
+
+
+def test_single_syllables_signs_and_marked_words(spark: SparkSession) -> None:
+    bad = ["3명".encode("cp949").decode("latin-1"), "※".encode().decode("cp1252"), "żółć".encode().decode("cp1252"), "수".encode().decode("latin-1")]
+    df = texts(spark, *bad, *["3명 2월 할 수 ※ 붙임, żółć"] * 8)
+    assert {r["run"]: r["original"] for r in m.repaired_runs(df).collect()} == {bad[0][1:]: "명", bad[1]: "※", bad[2]: "żółć", bad[3]: "수"}
+
+
 def test_clean_and_odd_input(spark: SparkSession) -> None:
     assert m.garbled_records(texts(spark)).count() == 0
     assert m.garbled_records(texts(spark, "", "a" * 200_000, "가" * 100_000)).count() == 0
