@@ -45,7 +45,7 @@ def snapshot_changes(
     # One row per group: the deliveries that exist, from two columns of the scan.
     plan = rows.select(F.col(snapshot).alias(f"{PREFIX}s"), F.col(group).alias(f"{PREFIX}g")).filter(s.isNotNull() & g.isNotNull())
     plan = plan.groupBy(f"{PREFIX}g").agg(F.array_sort(F.collect_set(f"{PREFIX}s")).alias(f"{PREFIX}all"))
-    plan, _ = small_side(plan, max_groups)
+    plan, _ = small_side(plan)
     here = F.array_position(f"{PREFIX}all", s).cast("int")
     sides = F.array(
         F.when(here > 1, F.struct(s.alias("pair"), F.lit(True).alias("after"))),

@@ -5,19 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be shipped to every executor.
-BROADCAST_ROWS = 200_000
+from noticeforge.sources.tables import materialized
 
+#: Bytes, in an executor's memory, up to which a side may be shipped to every executor.
+BROADCAST_BYTES = 64 << 20
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """df as a broadcast side if it has at most max_rows rows, else df itself; and which of the two it was.
 
-    Only max_rows + 1 rows ever reach the driver, so the check is bounded whatever the input.
+def bytes_of(kept: DataFrame) -> int:
+    """An upper estimate of the memory that a materialized table takes: its rows by the width of their columns, or its files unpacked."""
+    spark = kept.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = [path(f) for f in kept.inputFiles()]
+    stored = sum(f.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(f).getLen() for f in files)
+    width = 16 + 8 * len(kept.columns)
+    return max(4 * stored, width * kept.count())
+
+
+def small_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """df as a broadcast side if it takes at most max_bytes, else as it is; and which of the two it was.
+
+    df is written to the shared folder first: its size is read from the files, it is computed once in either case, and none of its
+    rows pass through the driver's Python.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df, False
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), True
+    kept = materialized(df)
+    small = bytes_of(kept) <= max_bytes
+    return (F.broadcast(kept) if small else kept), small
 
 
 def fan_out(df: DataFrame, *cols: str) -> DataFrame:
