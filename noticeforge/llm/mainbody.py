@@ -127,7 +127,7 @@ def host_paths(parsed: DataFrame) -> DataFrame:
     # The figures of a path are one row of its own and of its ending, so both are joined before the hosts' rows meet them.
     told = everywhere.select("path", F.col("votes").alias("all_votes"), noise(ALL_LINES).alias("by_path"), ending.alias("ending")).join(ends, "ending", "left")
     told = told.select("path", "all_votes", F.coalesce("by_path", "by_end", F.lit(False)).alias("elsewhere"))
-    told, _ = small_side(told, 20_000)
+    told, _ = small_side(told)
     figures = per_host.join(told, "path").select("host", "path", (F.col("votes") * 1_000 + F.col("all_votes")).alias("rank"), F.coalesce(noise(OWN_LINES), "elsewhere").alias("noise"))
     return figures.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", F.struct("rank", "noise")))).alias("rule"))
 
@@ -203,7 +203,7 @@ def main_lines(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """
     raw = spread(pages.filter("page_id is not null").select("page_id", _host("source_url", "school_id").alias("host"), "raw_html"), "page_id")
     parsed = materialized(raw.select("page_id", "host", _parse("raw_html").alias("lines")))
-    rules, _ = small_side(host_paths(parsed), 20_000)
+    rules, _ = small_side(host_paths(parsed))
     bodies = parsed.join(rules, "host", "left").select("page_id", "host", "lines", _body("lines", F.coalesce("rule", F.create_map().cast(_RULE))).alias("body"))
     inside = F.transform("body", lambda x: x["k"])
     # Of each page the main lines and what it shows outside of them.
@@ -212,7 +212,7 @@ def main_lines(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     lone = bodies.filter((F.size("body") == 1) & ~F.col("body")[0]["head"]).select(F.col("body")[0]["k"].alias("k"), "page_id")
     message = lone.groupBy("k").agg(F.count_distinct("page_id").alias("n")).filter("n > 1").select("k", F.lit(True).alias("message"))
-    message, _ = small_side(message, 100_000)
+    message, _ = small_side(message)
     shown = bodies.select("page_id", "host", F.size("body").alias("size"), F.explode("body").alias("x")).select("page_id", "host", "size", "x.text", "x.k", "x.head")
     site_page = _frequent(shown, "page_id", bodies, PAGE_SHARE)
     shown = shown.join(message, "k", "left").join(site_page, ["host", "k"], "left").filter("site is null and not (size = 1 and not head and coalesce(message, false))")
@@ -223,7 +223,7 @@ def main_lines(pages: DataFrame, docs: DataFrame) -> DataFrame:
     texts = web.select("doc_id", "host", F.explode("lines").alias("x")).select("doc_id", "host", "x.text", "x.k", "x.parts")
     site_text = _frequent(texts, "doc_id", web, TEXT_SHARE)
     frame = _frame_lines(bodies).union(site_text.select("host", "k"))
-    frames, _ = small_side(frame.groupBy("host").agg(F.collect_set("k").alias("frame")), 20_000)
+    frames, _ = small_side(frame.groupBy("host").agg(F.collect_set("k").alias("frame")))
     texts = texts.join(frames, "host", "left").withColumn("frame", F.coalesce("frame", F.array().cast("array<bigint>")))
     menu = (F.size("parts") > 1) & F.forall("parts", lambda p: (p == 0) | F.array_contains("frame", p))
     way = F.col("text").rlike(r"(?i)^(?:home|홈|ホーム|首页|메인)\s*[>»›]|^[^>]{1,30} > [^>]{1,30} > ")

@@ -24,9 +24,14 @@ _INVISIBLE = "­᠎​‌‍‎‏⁠﻿ㅤ⠀"
 #: Digits and blanks of any kind, taken out of a line (the line feed between lines is kept).
 _IGNORED = {c: None for c in range(sys.maxunicode + 1) if c != 10 and (unicodedata.category(chr(c))[0] in "NZ" or chr(c).isspace() or chr(c) in _INVISIBLE)}
 _TWO_LETTERS = re.compile(r"[^\W\d_].*?[^\W\d_]", re.S)
-#: The clustering mask, in this order: addresses, words that begin with a capital letter, numbers and dates.
+#: What names of persons follow and what follows them, in scripts without capital letters.
+_NAME_LABELS = "작성자|담당자|글쓴이|등록자|게시자|책임자|성명|이름|作者|发布人|发布者|联系人|负责人|投稿者|担当者|作成者|氏名"
+_NAME_TITLES = "기자|교수|선생님|선생|팀장|조교|주무관|과장|실장|님|老师|教授|先生|さん|様"
+#: The clustering mask, in this order: addresses, names of persons, words that begin with a capital letter, numbers and dates.
 _MASKS = (
     (re.compile(r"(?:https?://|www\.)\S+|(?<![^\s@])[^\s@]++@\S+"), "@"),
+    (re.compile(rf"(?<![가-힣])({_NAME_LABELS})(\s*[:：]\s*|\s+)[가-힣ぁ-んァ-ヶ一-鿿]{{2,5}}(?![가-힣ぁ-んァ-ヶ一-鿿])"), r"\1\2@"),
+    (re.compile(rf"(?<![가-힣一-鿿])[가-힣一-鿿]{{2,4}}(?=\s?(?:{_NAME_TITLES})(?![가-힣ぁ-んァ-ヶ一-鿿]))"), "@"),
     (re.compile(r"\b[A-ZÀ-ÖØ-Þ][\w'’-]*"), "@"),
     (re.compile(r"\d+(?:[.,:/-]\d+)*"), "0"),
 )
@@ -34,9 +39,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Counters of shingles by which their minima are ordered, 4 MB whatever the input, and the classes (one of so many) they are
 #: counted in. Any order finds every pair; one that puts frequent shingles last keeps buckets small.
 SLOTS, COUNTED = 1 << 20, 16
-#: Rows (one or two numbers each) of near-duplicate classes up to which they are broadcast, 25 MB at most. Beyond, the joins
-#: shuffle; a bound of 50,000 makes them do so earlier, which costs more disk than it saves in broadcasts.
-NEAR_ROWS = 1_000_000
 
 
 def line_keys(content: str) -> list[str]:
@@ -44,33 +46,27 @@ def line_keys(content: str) -> list[str]:
     return content.translate(_IGNORED).lower().split("\n")
 
 
-_LINES = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("k", T.LongType()), T.StructField("first", T.BooleanType()), T.StructField("line", T.StringType())]))
+_LINES = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("k", T.LongType()), T.StructField("line", T.StringType())]))
 
 
-def _lines_of(with_text: bool):  # noqa: ANN202
-    @arrow_udf(_LINES)
-    def lines(sites: pa.Array, contents: pa.Array) -> pa.Array:
-        numbers, keys, firsts, texts, sizes = [], [], [], [], []
-        for site, content in zip(sites.to_pylist(), contents.to_pylist(), strict=True):
-            n, seen, raw = len(numbers), set(), content.split("\n") if content is not None else []
-            seed = xxhash.xxh64_intdigest(site)
-            for i, key in enumerate(line_keys(content) if raw else ()):
-                if _TWO_LETTERS.search(key):
-                    k = xxhash.xxh64_intdigest(key, seed)
-                    new = k not in seen
-                    if new or not with_text:
-                        numbers.append(i + 1)
-                        keys.append(k)
-                        firsts.append(new)
-                        texts.append(raw[i] if with_text else None)
-                        seen.add(k)
-            sizes.append(len(numbers) - n)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]).astype(np.int32))
-        ids = pa.array(np.array(keys, np.uint64).astype(np.int64))
-        cols = [pa.array(numbers, pa.int32()), ids, pa.array(firsts, pa.bool_()), pa.array(texts, pa.string())]
-        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(cols, ["line_no", "k", "first", "line"]))
-
-    return lines
+@arrow_udf(_LINES)
+def _lines_of(sites: pa.Array, contents: pa.Array) -> pa.Array:
+    """The lines of each content that count: number, key within the site, and the line itself where its key is new in the document."""
+    numbers, keys, texts, sizes = [], [], [], []
+    for site, content in zip(sites.to_pylist(), contents.to_pylist(), strict=True):
+        n, seen, raw = len(numbers), set(), content.split("\n") if content is not None else []
+        seed = xxhash.xxh64_intdigest(site)
+        for i, key in enumerate(line_keys(content) if raw else ()):
+            if _TWO_LETTERS.search(key):
+                k = xxhash.xxh64_intdigest(key, seed)
+                numbers.append(i + 1)
+                keys.append(k)
+                texts.append(None if k in seen else raw[i])
+                seen.add(k)
+        sizes.append(len(numbers) - n)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]).astype(np.int32))
+    cols = [pa.array(numbers, pa.int32()), pa.array(np.array(keys, np.uint64).astype(np.int64)), pa.array(texts, pa.string())]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(cols, ["line_no", "k", "line"]))
 
 
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,18 +181,18 @@ def near_pairs(classes: DataFrame) -> DataFrame:
     other = met.select(F.col("k").alias("head"), F.col("n").alias("n2"), "bucket")
     # Several bands find the same pair; it is compared once.
     found = materialized(met.join(other, "bucket").filter((F.col("head") < F.col("k")) & close).select("k", "head").distinct())
-    named, _ = small_side(found.select(F.explode(F.array("k", "head")).alias("k")).distinct(), NEAR_ROWS)
+    named, _ = small_side(found.select(F.explode(F.array("k", "head")).alias("k")).distinct())
     texts = materialized(classes.join(named, "k", "left_semi").select("k", _shingles("sample").alias("sh")))
     both = found.join(texts, "k").join(texts.select(F.col("k").alias("head"), F.col("sh").alias("sh2")), "head")
     alike = F.size(F.array_intersect("sh", "sh2")) / F.size(F.array_union("sh", "sh2")) >= SIMILARITY
     return both.filter(alike).select("k", "head").unionByName(same)
 
 
-def connected(pairs: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame:
+def connected(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """k, cluster: the smallest k that each k of the pairs is connected with, by spreading labels until none moves."""
     edges = materialized(pairs.select(F.explode(F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v")))).alias("e")).select("e.*").distinct())
     label = materialized(edges.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.col("k")).alias("cluster")))
-    for _ in range(rounds):
+    while True:
         near = edges.join(label.select(F.col("k").alias("v"), "cluster"), "v").groupBy(F.col("u").alias("k")).agg(F.min("cluster").alias("c"))
         # A label's own label is taken over too, which halves the way on long chains.
         far = label.select(F.col("k").alias("cluster"), F.col("cluster").alias("c2"))
@@ -205,7 +201,6 @@ def connected(pairs: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame:
         label = new.select("k", F.col("new").alias("cluster"))
         if new.filter("new <> cluster").isEmpty():
             return label
-    raise RuntimeError(f"labels still move after {rounds} rounds")
 
 
 def repeated_lines(docs: DataFrame, schools: DataFrame, exact: bool = True, min_docs: int = 5, min_share: float = 0.2) -> DataFrame:
@@ -221,15 +216,16 @@ def repeated_lines(docs: DataFrame, schools: DataFrame, exact: bool = True, min_
     """
     documents = site_docs(docs, schools)
     text = spread(documents, "doc_id")
-    at = materialized(text.select("site", "doc_id", F.explode(_lines_of(False)("site", "content")).alias("x")).select("site", "doc_id", "x.line_no", "x.k"))
-    first = text.select("site", F.explode(_lines_of(True)("site", "content")).alias("x")).select("site", "x.k", "x.line")
+    lines = materialized(text.select("site", "doc_id", F.explode(_lines_of("site", "content")).alias("x")).select("site", "doc_id", "x.*"))
+    at = lines.select("site", "doc_id", "line_no", "k")
+    first = lines.filter("line is not null").select("site", "k", "line")
     classes = materialized(first.groupBy("k").agg(F.min("site").alias("site"), F.count("*").alias("n_docs"), F.min("line").alias("sample")))
-    label, _ = small_side(connected(near_pairs(classes), "k", "head"), NEAR_ROWS)
+    label = connected(near_pairs(classes), "k", "head")
     classes = classes.select("site", "k", "n_docs").join(label, "k", "left").withColumn("cluster", F.coalesce("cluster", "k"))
     sums = classes.groupBy("site", "cluster").agg(F.count("*").alias("n"), F.sum("n_docs").alias("n_docs"))
     # A cluster's distinct documents are at most the sum of its classes': only sums that reach the bar are counted exactly.
     might = materialized(excessive(sums, documents, min_docs, min_share))
-    members, _ = small_side(classes.join(might.filter("n > 1").select("cluster"), "cluster", "left_semi").select("k", "cluster"), NEAR_ROWS)
+    members, _ = small_side(classes.join(might.filter("n > 1").select("cluster"), "cluster", "left_semi").select("k", "cluster"))
     counted = at.join(members, "k").groupBy("site", "cluster").agg(F.count_distinct("doc_id").alias("n_docs"))
     clusters = might.filter("n = 1").select("cluster").unionByName(excessive(counted, documents, min_docs, min_share).select("cluster"))
     hit = classes.join(clusters, "cluster", "left_semi")
