@@ -99,19 +99,21 @@ def _epoch_hash(seed: int, epoch: Column) -> Column:
 
 
 def mix_sources(
-    docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 42, **tokenizer: str
+    docs: DataFrame, targets: DataFrame, total_tokens: float | str | None = None, seed: int = 42, distinct_texts: bool = False, **tokenizer: str
 ) -> tuple[DataFrame, DataFrame]:
     """(uses, shares) of texts put together so that each source has its target share of the tokens.
 
-    docs      doc_id, text, lang, source; texts that are null or have no token are left out; texts that are equal count as one
+    docs      doc_id, text, lang, source; texts that are null or have no token are left out; of rows with one doc_id the smallest counts; with distinct_texts, texts that are equal count as one
               (the smallest doc_id stands for them, in its own source)
     targets   source, target_share, max_repeat; shares are scaled to sum 1, a null share is 0, a null max_repeat 1; of several
               rows of one source the greatest holds
-    total     tokens to reach; by default the largest total at which no source with texts falls short of its share
+    total     tokens to reach; by default all tokens of the listed sources, so that shortages of small ones are redistributed;
+              "exact" is the largest total at which no source with texts falls short of its share
     uses      doc_id, source, epoch (from 1), n_tokens: one row per use of a text. Each epoch takes a source's texts in its own
               seeded order; the last one is a prefix of that order by tokens, so no text is used twice before all were used once.
     shares    one row per target source, those without texts too: source, domain, language, target_share, budget_tokens,
-              n_texts, source_tokens, mixed_tokens, actual_share, full_epochs, max_repeat
+              n_texts, n_copies (texts that another document of the source has too, all but one of them), source_tokens,
+              mixed_tokens, actual_share, full_epochs, max_repeat
 
     Tree: the domain is what follows the last '-' of a source's name, the language the one of most of its tokens. Only sums
     per listed source reach the driver (MAX_SOURCES at most); a source of any size is cut into EPOCH_PARTS parts of each
@@ -130,8 +132,13 @@ def mix_sources(
     listed = listed.filter(F.length("text") > 0).join(F.broadcast(names), "source", "left_semi")
     sized = encode_tokens(spread(listed, "doc_id"), "text", "n_tokens", count_only=True, **tokenizer).filter("n_tokens > 0")
     sized = sized.select("doc_id", "source", "lang", "n_tokens", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
-    one = F.min(F.struct("doc_id", "source", "lang", "n_tokens"))
-    texts = materialized(sized.groupBy("h", "g").agg(one.alias("x")).select("x.*"))
+    one = F.min(F.struct("doc_id", "source", "lang", "n_tokens", "h", "g")).alias("x")
+    sized = sized.groupBy("doc_id").agg(one).select("x.*")
+    if distinct_texts:
+        sized = sized.groupBy("h", "g").agg(one).select("x.*")
+    texts = materialized(sized)
+    copies = texts.groupBy("source", "h", "g").agg((F.count("*") - 1).alias("c")).groupBy("source").agg(F.sum("c").alias("n_copies"))
+    texts = texts.select("doc_id", "source", "lang", "n_tokens")
     sums = texts.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
     found: dict[str, tuple[int, int, str]] = {}
     by_lang = sums.groupBy("source").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.max(F.struct("t", F.coalesce("lang", F.lit("")).alias("lang")))["lang"].alias("lang"))
@@ -142,7 +149,9 @@ def mix_sources(
         Leaf(r["source"], r["source"].rsplit("-", 1)[-1], found.get(r["source"], (0, 0, "?"))[2], r["share"] / scale, found.get(r["source"], (0, 0, "?"))[1], r["max_repeat"])
         for r in rows
     ]
-    plan_budgets(leaves, exact_total(leaves) if total_tokens is None else total_tokens)
+    if total_tokens is None:
+        total_tokens = sum(x.tokens for x in leaves)
+    plan_budgets(leaves, exact_total(leaves) if total_tokens == "exact" else float(total_tokens))
     schema = "source string, domain string, language string, target_share double, n_texts long, source_tokens long, max_repeat int, budget_tokens double, full_epochs int, rest long"
     rest = lambda x: (int(x.budget + 1e-6) % x.tokens if x.tokens else 0)
     full = lambda x: (int(x.budget + 1e-6) // x.tokens if x.tokens else 0)
@@ -164,6 +173,7 @@ def mix_sources(
     uses = ordered.filter(F.col("epoch") <= F.col("full_epochs")).select(*cols).unionByName(taken.filter("room is null").select(*cols)).unionByName(fitting.select(*cols))
     mixed = uses.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"))
     every = W.Window.partitionBy(F.lit(1))
-    shares = plan.join(mixed, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0).cast(T.LongType())))
+    shares = plan.join(mixed, "source", "left").join(copies, "source", "left").withColumn("n_copies", F.coalesce("n_copies", F.lit(0).cast(T.LongType())))
+    shares = shares.withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0).cast(T.LongType())))
     shares = shares.withColumn("actual_share", F.coalesce(F.try_divide("mixed_tokens", F.sum("mixed_tokens").over(every)), F.lit(0.0)))
     return uses, shares.drop("rest")

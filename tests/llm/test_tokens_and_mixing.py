@@ -55,7 +55,7 @@ def test_mixing_reaches_shares(spark: SparkSession) -> None:
     rows = [(i, f"text number {i} " * 5, "en", ["a-x", " A-X ", "b-x", "c-y"][i % 4], 1, 1, 1, 1) for i in range(400)]
     rows += [(1000 + i, None if i % 2 else "", None, None, None, None, None, None) for i in range(6)] + [(2000, rows[0][1], "en", "c-y", 1, 1, 1, 1), rows[3]]
     targets = spark.createDataFrame([("a-x", 0.25, 2), ("b-x", 0.25, 1), ("c-y", 0.5, 3), ("gone-y", 0.2, 1), (None, 0.1, 1)], TARGETS)
-    uses, shares = mixing.mix_sources(docs(spark, *rows), targets)
+    uses, shares = mixing.mix_sources(docs(spark, *rows), targets, "exact", distinct_texts=True)
     got = {r["source"]: r for r in shares.collect()}
     assert got["gone-y"]["mixed_tokens"] == 0 and set(got) == {"a-x", "b-x", "c-y", "gone-y"}
     # The empty source's share went to its sibling of the domain.
@@ -71,6 +71,19 @@ def test_mixing_reaches_shares(spark: SparkSession) -> None:
     assert {s: sum(r["n_tokens"] for r in used if r["source"] == s) for s in limit} == {s: got[s]["mixed_tokens"] for s in limit}
 
 
+def test_default_total_redistributes_and_keeps_copies(spark: SparkSession) -> None:
+    rows = [(i, f"text number {i % 90} " * 5, "en", ["a-x", "b-x", "c-y"][0 if i < 10 else 1 + i % 2], 1, 1, 1, 1) for i in range(200)]
+    targets = spark.createDataFrame([("a-x", 0.4, 2), ("b-x", 0.1, 9), ("c-y", 0.5, 9)], TARGETS)
+    uses, shares = mixing.mix_sources(docs(spark, *rows, rows[5]), targets)
+    got = {r["source"]: r for r in shares.collect()}
+    total = sum(r["source_tokens"] for r in got.values())
+    assert sum(r["n_texts"] for r in got.values()) == 200 and got["a-x"]["n_copies"] == 0 and got["b-x"]["n_copies"] == 50
+    # a-x gives all it may, b-x takes over what it lacks, and c-y keeps its own share.
+    assert got["a-x"]["mixed_tokens"] == 2 * got["a-x"]["source_tokens"] and abs(got["c-y"]["mixed_tokens"] - total / 2) < 40
+    assert abs(sum(r["mixed_tokens"] for r in got.values()) - total) < 80
+    assert uses.groupBy("doc_id").count().filter("count > 9").count() == 0
+
+
 def test_shortage_goes_to_siblings_first() -> None:
     leaf = lambda s, d, lang, share, tokens: mixing.Leaf(s, d, lang, share, tokens, 1)
     plan = {x.source: x.budget for x in mixing.plan_budgets([leaf("a", "x", "ko", 0.4, 10), leaf("b", "x", "ko", 0.1, 1000), leaf("c", "x", "en", 0.1, 1000), leaf("d", "y", "ko", 0.4, 1000)], 100)}
