@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 CHUNK, OVERLAP = 2000, 200
-#: Words of a title that say nothing about it.
-TITLE_NOISE = r"(?i)(공지사항|공지|새글|첨부파일|첨부|NEW|HOT|N|필독|중요)"
+#: Words around a title that say nothing about it (case aside), what stands in for a missing one, and the tags of an
+#: answer's two parts.
+TITLE_NOISE = r"(?i)(새글|NEW|N|공지|첨부파일|분류|작성자|조회수|등록일)"
+UNTITLED = "(제목 없음)"
+SHORT_TAG, LONG_TAG = "[핵심 답변]", "[상세 답변]"
 
 
 def normalize_text(text: Column) -> Column:
@@ -21,9 +30,20 @@ def squash(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
 
 
+@lru_cache(maxsize=65_536)
+def _compacted(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
+
+
+@arrow_udf(T.StringType())
+def compact(texts: pa.Array) -> pa.Array:
+    """NFKC, case-folded, only letters and digits; null stays null."""
+    return pa.array([t if t is None else _compacted(t) for t in texts.to_pylist()], pa.string())
+
+
 def norm_key(kind: Column, name: Column) -> Column:
-    """The key of an entity: squashed type and name (lower() stands for case folding; the exact form is a pandas UDF away)."""
-    return F.concat(squash(kind), F.lit(":"), squash(name))
+    """The key of an entity: compact type and name."""
+    return F.concat(compact(kind), F.lit(":"), compact(name))
 
 
 def windows(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
@@ -64,14 +84,84 @@ def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
     return F.element_at(F.transform(F.array(normalize_text(text)), whole), 1)
 
 
-def titles_match(a: Column, b: Column) -> Column:
-    """Whether two titles are the same one: squashed without noise words, equal, or one of eight letters or more within the other."""
-    x, y = (squash(F.regexp_replace(t, TITLE_NOISE, " ")) for t in (a, b))
-    inside = (F.length(x) >= 8) & F.contains(y, x) | (F.length(y) >= 8) & F.contains(x, y)
-    return (x != "") & (y != "") & ((x == y) | inside)
+def titles_match(listing: Column, title: Column, content: Column) -> Column:
+    """Whether a listing's title and a page are of the same notice.
+
+    Squashed and without noise words, the listing's title is empty, stands in the page's title and content, holds the page's
+    title (of eight letters or more), or is how that begins (if it has eight letters or more itself).
+    """
+    x, y = (squash(F.regexp_replace(F.coalesce(t, F.lit("")), TITLE_NOISE, " ")) for t in (listing, title))
+    page = squash(F.concat_ws(" ", title, content))
+    return (x == "") | F.contains(page, x) | (F.length(y) >= 8) & F.contains(x, y) | (F.length(x) >= 8) & F.startswith(y, x)
+
+
+def named(title: Column) -> Column:
+    """The title, or what stands in for a null or empty one."""
+    return F.coalesce(F.nullif(title, F.lit("")), F.lit(UNTITLED))
 
 
 def citation(title: Column, page: Column) -> Column:
-    """`title - Np`, or the title alone without a page; a missing title gets a stand-in."""
-    name = F.coalesce(F.nullif(title, F.lit("")), F.lit("(제목 없음)"))
-    return F.when(page.isNotNull(), F.concat(name, F.lit(" - "), page.cast("string"), F.lit("p"))).otherwise(name)
+    """`title - N페이지`, or the title alone without a page; a missing title gets a stand-in."""
+    return F.when(page.isNotNull(), F.concat(named(title), F.lit(" - "), page.cast("string"), F.lit("페이지"))).otherwise(named(title))
+
+
+#: White space of any kind.
+_SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
+
+
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{_SPACE}|{_SPACE}$", "")
+
+
+def squeeze(text: Column, limit: int) -> Column:
+    """One line with single blanks; of a longer one the first `limit` characters and an ellipsis."""
+    line = strip(F.regexp_replace(text, _SPACE, " "))
+    return F.when(F.length(line) > limit, F.concat(F.left(line, F.lit(limit)), F.lit("…"))).otherwise(line)
+
+
+def error_detail(kind: Column, message: Column, limit: int = 300) -> Column:
+    """`Kind: message` with the message on one line, cut to `limit`; the kind alone without a message."""
+    line = strip(F.regexp_replace(F.coalesce(message, F.lit("")), r"[\r\n]+", " "))
+    return F.when(line == "", kind).otherwise(F.concat(kind, F.lit(": "), F.left(line, F.lit(limit))))
+
+
+def fill_template(template: Column, groups: Column) -> Column:
+    """template with {0}, {1}, ... replaced by the items of groups; null if an item is asked for that is not there."""
+    numbers = F.transform(F.regexp_extract_all(template, F.lit(r"\{(\d+)\}"), 1), lambda n: n.cast("int"))
+    missing = F.exists(numbers, lambda n: n >= F.size(groups))
+    filled = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(groups) - 1, F.lit(0))), template, lambda t, i: F.replace(t, F.concat(F.lit("{"), i.cast("string"), F.lit("}")), F.coalesce(F.get(groups, i), F.lit(""))))
+    return F.when(~F.coalesce(missing, F.lit(False)), F.when(F.size(groups) > 0, filled).otherwise(template))
+
+
+def answer_parts(answer: Column) -> Column:
+    """struct(summary, detail): the parts of an answer after their tags; without tags its first line and the rest."""
+    text = strip(answer)
+    tagged = F.contains(text, F.lit(SHORT_TAG)) & F.contains(text, F.lit(LONG_TAG))
+    after = F.substring_index(text, SHORT_TAG, -1)
+    short, long = strip(F.substring_index(after, LONG_TAG, 1)), strip(F.substring_index(text, LONG_TAG, -1))
+    first = F.substring_index(text, "\n", 1)
+    rest = strip(F.substring(text, F.length(first) + 1, F.length(text)))
+    return F.when(tagged, F.struct(short.alias("summary"), long.alias("detail"))).otherwise(F.struct(strip(first).alias("summary"), rest.alias("detail")))
+
+
+def attachment_uri(attachment_id: Column) -> Column:
+    """The address under which chunks of an uploaded file are cited."""
+    return F.concat(F.lit("attachment://"), attachment_id.cast("string"))
+
+
+def node_label(entity_id: Column) -> Column:
+    """An entity's id as graphs show it; as texts, e_10 sorts before e_2."""
+    return F.concat(F.lit("e_"), entity_id.cast("string"))
+
+
+def byte_size(size: Column) -> Column:
+    """A size in bytes for people: B below a kilobyte, else KB or MB with one digit."""
+    kb, mb = size / 1024, size / (1024 * 1024)
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 * 1024, F.format_string("%.1f KB", kb)).otherwise(F.format_string("%.1f MB", mb))
+
+
+def prompt(instruction: str, *parts: tuple[str, Column]) -> Column:
+    """A model's input: the instruction, then each part under its label, parts that are null or blank left out."""
+    blocks = [F.when(strip(c) != "", F.concat(F.lit(f"{label}:\n"), c)) for label, c in parts]
+    return F.concat_ws("\n\n", F.lit(instruction), *blocks)

@@ -60,3 +60,36 @@ def website(url: Column) -> Column:
 def url_pattern(url: Column) -> Column:
     """The URL with every run of digits as '#'."""
     return F.regexp_replace(url, "\\d+", "#")
+
+
+def host(url: Column) -> Column:
+    """The host in lower case without user and port; '' if there is none."""
+    at = F.regexp_replace(F.lower(F.regexp_extract(F.trim(url), _PARTS, 2)), "^.*@", "")
+    return F.coalesce(F.regexp_replace(at, ":\\d*$", ""), F.lit(""))
+
+
+def display_name(url: Column) -> Column:
+    """The first label of the host without leading www."""
+    return F.split_part(F.regexp_replace(host(url), "^www\\.", ""), F.lit("."), F.lit(1))
+
+
+def advance_offset(url: Column, param: Column, step: Column, start: Column) -> Column:
+    """The URL with a parameter raised by step; a missing or odd one counts as start. Of several of one name the last holds."""
+    part = lambda i: F.regexp_extract(url, _PARTS, i)
+    name = lambda p: F.split_part(p, F.lit("="), F.lit(1))
+    value = lambda p: F.substring(p, F.length(name(p)) + 2, F.length(p))
+    pairs = F.filter(F.split(part(4), "&"), lambda p: p != "")
+    names = F.array_distinct(F.transform(pairs, name))
+    last = lambda n: value(F.element_at(F.filter(pairs, lambda p: name(p) == n), -1))
+    now = F.when(F.array_contains(names, param), last(param))
+    base = F.when(now.rlike(r"^\d{1,18}$"), now.try_cast("bigint")).otherwise(start.cast("bigint"))
+    raised = F.concat(param, F.lit("="), (base + step).cast("string"))
+    kept = F.transform(names, lambda n: F.when(n == param, raised).otherwise(F.concat(n, F.lit("="), last(n))))
+    query = F.array_join(F.when(F.array_contains(names, param), kept).otherwise(F.concat(kept, F.array(raised))), "&")
+    bare = F.regexp_extract(url, r"^[^?#]*", 0)
+    return F.concat(bare, F.lit("?"), query, F.regexp_extract(url, r"#[\s\S]*$", 0))
+
+
+def admissible(url: Column) -> Column:
+    """Whether a school may be registered with this URL: http or https, and a host."""
+    return F.coalesce(F.lower(F.regexp_extract(F.trim(url), _PARTS, 1)).isin("http", "https") & (host(url) != ""), F.lit(False))

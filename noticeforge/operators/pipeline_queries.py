@@ -10,39 +10,51 @@ from noticeforge.functions import models
 from noticeforge.operators import extraction, scheduler
 from noticeforge.sources.tables import table
 
-_TYPES = ("장학금", "행사", "시설")
+_TYPES = ("장학금", "행사", "시설", "공지", "부서·기관")
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per entity: itself and its school as an extraction with one relation."""
+    """One row per entity: itself and its school's office as an extraction; every third says that the office posts the entity."""
     e = table(spark, sf_dir, "entities").select("entity_id", "type", "name", "school_id").distinct()
-    place = F.struct(F.lit("시설").alias("type"), F.concat(F.lit(" 학교 "), "school_id").alias("name"))
-    entities = F.array(F.struct("type", "name"), place)
-    relation = F.struct(F.col("name").alias("source"), F.when(F.col("entity_id") % 3 == 0, "게시").otherwise("기타").alias("relation"), F.concat(F.lit("학교 "), "school_id").alias("target"))
+    none = F.create_map().cast("map<string,string>").alias("attributes")
+    office = F.struct(F.lit("부서·기관").alias("type"), F.concat(F.lit(" 학교 "), "school_id").alias("name"), none)
+    entities = F.array(F.struct("type", "name", none), office)
+    relation = F.struct(F.concat(F.lit("학교 "), "school_id").alias("source"), F.when(F.col("entity_id") % 3 == 0, "게시").otherwise("기타").alias("relation"), F.col("name").alias("target"))
     return e.select("entity_id", "type", "name", "school_id", entities.alias("entities"), F.array(relation).alias("relations"))
 
 
 @query("whitelist_filter", """
-SELECT DISTINCT entity_id, CASE WHEN type IN ('장학금', '행사', '시설') AND trim(name) <> '' THEN 2 ELSE 1 END AS kept FROM entities""")
+SELECT DISTINCT entity_id, CASE WHEN type IN ('장학금', '행사', '시설', '공지', '부서·기관') AND trim(name) <> '' THEN 2 ELSE 1 END AS kept FROM entities""")
 def whitelist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir).select("entity_id", F.size(extraction.allowed_entities(F.col("entities"), _TYPES)).alias("kept"))
 
 
 @query("relation_swap", """
-SELECT DISTINCT entity_id, CASE WHEN type = '시설' THEN trim(name) ELSE '학교 ' || school_id END AS source, CASE WHEN type = '시설' THEN '학교 ' || school_id ELSE trim(name) END AS target
-FROM entities WHERE entity_id % 3 = 0 AND type IN ('장학금', '행사', '시설') AND trim(name) <> ''""")
+SELECT DISTINCT entity_id, CASE WHEN type = '공지' THEN trim(name) ELSE '학교 ' || school_id END AS source, CASE WHEN type = '공지' THEN '학교 ' || school_id ELSE trim(name) END AS target
+FROM entities WHERE entity_id % 3 = 0 AND type IN ('장학금', '행사', '시설', '공지', '부서·기관') AND trim(name) <> ''""")
 def relation_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _extracted(spark, sf_dir).withColumn("entities", extraction.allowed_entities(F.col("entities"), _TYPES))
-    kept = extraction.allowed_relations(F.col("relations"), F.col("entities"), ("게시",), "게시", "시설")
-    return rows.select("entity_id", F.explode(kept).alias("r")).select("entity_id", "r.source", "r.target")
+    return rows.select("entity_id", F.explode(extraction.allowed_relations(F.col("relations"), F.col("entities"))).alias("r")).select("entity_id", "r.source", "r.target")
+
+
+@query("extraction_discarded", """
+SELECT DISTINCT entity_id, CASE WHEN type IN ('대학·캠퍼스', '단과대학', '학과·전공', '부서·기관', '담당자', '외부기관', '공지', '장학금', '프로그램·사업', '채용·모집', '행사', '학사일정', '교과목·수업',
+ '절차·신청방법', '규정·정책', '대상·자격', '연락처', '시설', '첨부·링크', '주제·카테고리') AND trim(name) <> '' THEN CASE WHEN entity_id % 3 = 0 THEN 0 ELSE 1 END ELSE 2 END AS discarded FROM entities""")
+def extraction_discarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _extracted(spark, sf_dir)
+    return rows.select("entity_id", extraction.validated(F.col("entities"), F.col("relations"))["discarded"].alias("discarded")).distinct()
 
 
 @query("metadata_guarantee", """
-SELECT DISTINCT page_id, CASE WHEN trim(title_hint) <> '' THEN 1 ELSE 0 END + CASE WHEN trim(category_hint) <> '' THEN 1 ELSE 0 END AS n FROM crawled_pages""")
+WITH p AS (SELECT DISTINCT page_id, title_hint AS t, trim(coalesce(category_hint, '')) AS c FROM crawled_pages)
+SELECT page_id, CASE WHEN c = '' THEN 0 WHEN coalesce(t, '') = '' THEN 1 ELSE 2 END AS entities, CASE WHEN c <> '' AND coalesce(t, '') <> '' THEN t || '/분류/' || c END AS relation FROM p""")
 def metadata_guarantee(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None).cast("array<struct<type:string,name:string>>")
-    made = extraction.with_metadata(none, F.col("category_hint"), F.col("title_hint"), "분류", "공지")
-    return table(spark, sf_dir, "crawled_pages").select("page_id", F.size(made).alias("n")).distinct()
+    empty = [F.array().cast(f"array<{kind}>") for kind in (extraction.ENTITY, extraction.RELATION)]
+    made = extraction.with_category(*empty, F.col("category_hint"), F.col("title_hint"))
+    pages = table(spark, sf_dir, "crawled_pages").select("page_id", made.alias("m"))
+    first = F.get("m.relations", F.lit(0))
+    relation = F.when(first.isNotNull(), F.concat_ws("/", first["source"], first["relation"], first["target"]))
+    return pages.select("page_id", F.size("m.entities").alias("entities"), relation.alias("relation")).distinct()
 
 
 @query("page_extraction_status", """
@@ -55,7 +67,7 @@ def page_extraction_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("scheduler_due", """
 SELECT school_id, CASE WHEN status IN ('crawling', 'indexing') THEN 'skip' ELSE 'start' END AS action FROM schools
-WHERE lower(trim(crawl_schedule)) IN ('hourly', 'daily', 'weekly', 'monthly') OR regexp_full_match(lower(trim(crawl_schedule)), '[0-9]{1,9}[smhd]?') OR regexp_full_match(trim(crawl_schedule), '[0-9*/,-]+( +[0-9*/,-]+){4}')""")
+WHERE lower(trim(crawl_schedule)) IN ('hourly', 'daily', 'weekly', 'monthly') OR regexp_full_match(lower(trim(crawl_schedule)), '[0-9]{1,12}( *[smhd])?') OR regexp_full_match(trim(crawl_schedule), '[^ ]+( +[^ ]+){4}')""")
 def scheduler_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     schools, now = table(spark, sf_dir, "schools"), F.lit("2026-06-01").cast("timestamp")
     none = spark.createDataFrame([], "school_id long, schedule string, next_run timestamp, run_count int, error_count int")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from noticeforge.catalog import query
-from noticeforge.operators import graph, quality, rag, vector
+from noticeforge.operators import graph, ingest, quality, rag, vector
 from noticeforge.plans.joins import small_side
 from noticeforge.sources.tables import table
 
@@ -58,27 +58,21 @@ def attachment_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("status_case", """
-SELECT school_id, CASE status WHEN 'crawling' THEN 'crawl' WHEN 'indexing' THEN 'index' WHEN 'ready' THEN 'done' WHEN 'partial_failed' THEN 'done' WHEN 'failed' THEN 'error' ELSE 'idle' END AS stage,
-CAST(CASE status WHEN 'crawling' THEN 0.2 WHEN 'indexing' THEN 0.6 WHEN 'ready' THEN 1.0 WHEN 'partial_failed' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS progress FROM schools""")
+SELECT school_id, CASE WHEN status = 'ready' THEN 'done' WHEN status IN ('crawling', 'indexing', 'partial_failed', 'failed') THEN status ELSE 'idle' END AS stage,
+CAST(CASE status WHEN 'crawling' THEN 0.3 WHEN 'indexing' THEN 0.7 WHEN 'ready' THEN 1.0 WHEN 'partial_failed' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS progress FROM schools""")
 def status_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("status")
-    stage = F.when(s == "crawling", "crawl").when(s == "indexing", "index").when(s.isin("ready", "partial_failed"), "done").when(s == "failed", "error").otherwise("idle")
-    progress = F.when(s == "crawling", 0.2).when(s == "indexing", 0.6).when(s.isin("ready", "partial_failed"), 1.0).otherwise(0.0)
+    stage = F.when(s == "ready", "done").when(s.isin("crawling", "indexing", "partial_failed", "failed"), s).otherwise("idle")
+    progress = F.when(s == "crawling", 0.3).when(s == "indexing", 0.7).when(s.isin("ready", "partial_failed"), 1.0).otherwise(0.0)
     return table(spark, sf_dir, "schools").select("school_id", stage.alias("stage"), progress.alias("progress"))
 
 
 @query("upload_admission", """
-SELECT DISTINCT attachment_id, CASE WHEN filename IS NULL OR trim(filename) = '' THEN 'NO_NAME'
- WHEN lower(regexp_extract(filename, '(\\.[^.]+)$', 1)) NOT IN ('.pdf', '.hwp', '.hwpx', '.txt', '.md') THEN 'UNSUPPORTED_TYPE'
- WHEN byte_size = 0 THEN 'EMPTY_FILE' WHEN byte_size > 8000000 THEN 'TOO_LARGE' ELSE 'OK' END AS code FROM attachments""")
+SELECT DISTINCT attachment_id, CASE WHEN filename IS NULL OR trim(filename) = '' THEN 'INVALID_FILENAME'
+ WHEN lower(regexp_extract(trim(filename), '[^/.][^/]*(\\.[^./]+)$', 1)) NOT IN ('.pdf', '.hwp', '.hwpx', '.txt', '.md') THEN 'UNSUPPORTED_FILE_TYPE'
+ WHEN coalesce(byte_size, 0) = 0 THEN 'EMPTY_FILE' WHEN byte_size > 104857600 THEN 'FILE_TOO_LARGE' ELSE 'OK' END AS code FROM attachments""")
 def upload_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.col("filename")
-    kind = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
-    code = (
-        F.when(name.isNull() | (F.trim(name) == ""), "NO_NAME").when(~kind.isin(".pdf", ".hwp", ".hwpx", ".txt", ".md"), "UNSUPPORTED_TYPE")
-        .when(F.col("byte_size") == 0, "EMPTY_FILE").when(F.col("byte_size") > 8_000_000, "TOO_LARGE").otherwise("OK")
-    )
-    return table(spark, sf_dir, "attachments").select("attachment_id", code.alias("code")).distinct()
+    return table(spark, sf_dir, "attachments").select("attachment_id", ingest.admission_code(F.col("filename"), F.col("byte_size")).alias("code")).distinct()
 
 
 @query("documents_by_ids", """
@@ -127,19 +121,19 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6) + F.lit(0.0))
 
 
-@query("vector_topk_cosine", _SCORED.format(on="true") + "SELECT query_id, score, rank FROM r WHERE rank <= 5")
+@query("vector_topk_cosine", _SCORED.format(on="true") + "SELECT query_id, item_id, score, rank FROM r WHERE rank <= 5")
 def vector_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, items = _vectors(spark, sf_dir)
-    return _rounded(vector.top_k(asked.drop("label"), items.drop("label"), 5)).select("query_id", "score", "rank")
+    return _rounded(vector.top_k(asked.drop("label"), items.drop("label"), 5)).select("query_id", "item_id", "score", "rank")
 
 
-@query("vector_topk_pool_filter", _SCORED.format(on="e.label = q.label") + "SELECT query_id, score, rank FROM r WHERE rank <= 5")
+@query("vector_topk_pool_filter", _SCORED.format(on="e.label = q.label") + "SELECT query_id, item_id, score, rank FROM r WHERE rank <= 5")
 def vector_topk_pool_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, items = _vectors(spark, sf_dir)
-    return _rounded(vector.top_k(asked, items, 5, ("label",))).select("query_id", "score", "rank")
+    return _rounded(vector.top_k(asked, items, 5, ("label",))).select("query_id", "item_id", "score", "rank")
 
 
-@query("vector_topk_threshold", _SCORED.format(on="e.label = q.label") + "SELECT query_id, score, rank FROM r WHERE rank <= 5 AND score >= 0.3")
+@query("vector_topk_threshold", _SCORED.format(on="e.label = q.label") + "SELECT query_id, item_id, score, rank FROM r WHERE rank <= 5 AND score >= 0.3")
 def vector_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.above(vector_topk_pool_filter(spark, sf_dir), 0.3)
 
@@ -147,16 +141,16 @@ def vector_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("hybrid_fallback_stage", _SCORED.format(on="e.label = q.label AND e.vec_id <> q.query_id") + """,
 g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS k FROM s WHERE item_id % 2 = 1),
 d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS k FROM s WHERE item_id % 2 = 0),
-a AS (SELECT query_id, score, k, 'graph' AS stage FROM g WHERE k <= 5 AND score >= 0.6),
-b AS (SELECT query_id, score, k, 'document' AS stage FROM d WHERE k <= 5 AND score >= 0.3 AND query_id NOT IN (SELECT query_id FROM a))
-SELECT query_id AS question_id, stage, score, k AS rank FROM a UNION ALL SELECT query_id, stage, score, k FROM b""")
+a AS (SELECT query_id, item_id, score, k, 'graph' AS stage FROM g WHERE k <= 5 AND score >= 0.6),
+b AS (SELECT query_id, item_id, score, k, 'document' AS stage FROM d WHERE k <= 5 AND score >= 0.3 AND query_id NOT IN (SELECT query_id FROM a))
+SELECT query_id AS question_id, item_id, stage, score, k AS rank FROM a UNION ALL SELECT query_id, item_id, stage, score, k FROM b""")
 def hybrid_fallback_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, items = _vectors(spark, sf_dir)
     pools = []
     for odd in (1, 0):
         best = vector.top_k(asked, items.filter(F.col("item_id") % 2 == odd), 6, ("label",)).filter("item_id <> query_id")
         pools.append(_rounded(best).withColumn("rank", F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")).cast("bigint")).filter("rank <= 5"))
-    return rag.hybrid(pools[0], pools[1]).drop("item_id")
+    return rag.hybrid(pools[0], pools[1])
 
 
 _HITS_SQL = """hits AS (SELECT school_id AS question_id, doc_id, source_url AS url, title, page, content,
@@ -169,19 +163,19 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("rank", rank).filter("rank <= 5")
 
 
-@query("source_dedupe_first", f"WITH {_HITS_SQL} SELECT question_id, url, arg_min(struct_pack(t := title), rank).t AS title, min(rank) AS place FROM hits GROUP BY 1, 2")
+@query("source_dedupe_first", f"WITH {_HITS_SQL} SELECT question_id, url, arg_min(struct_pack(t := title), rank).t AS title, min(rank) AS place FROM hits WHERE url <> '' GROUP BY 1, 2")
 def source_dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rag.first_titles(_hits(spark, sf_dir)).select("question_id", "url", "title", "place")
 
 
 @query("source_page_merge", f"""WITH {_HITS_SQL}, m AS (SELECT question_id, url, arg_min(struct_pack(t := title), rank).t AS title, list_sort(list(DISTINCT page) FILTER (WHERE page IS NOT NULL)) AS pages FROM hits GROUP BY 1, 2)
-SELECT question_id, url, CASE WHEN len(pages) > 0 THEN title || ' - ' || array_to_string(pages, ', ') || '페이지' ELSE title END AS label FROM m""")
+SELECT question_id, url, CASE WHEN len(pages) > 0 THEN coalesce(nullif(title, ''), '(제목 없음)') || ' - ' || array_to_string(pages, ', ') || '페이지' ELSE coalesce(nullif(title, ''), '(제목 없음)') END AS label FROM m""")
 def source_page_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rag.merge_sources(_hits(spark, sf_dir)).select("question_id", "url", "label")
 
 
-@query("context_assembly", f"""WITH {_HITS_SQL} SELECT question_id, string_agg('[' || rank || '] ' || CASE WHEN page IS NULL THEN coalesce(nullif(title, ''), '(제목 없음)')
- ELSE coalesce(nullif(title, ''), '(제목 없음)') || ' - ' || page || 'p' END || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY 1""")
+@query("context_assembly", f"""WITH {_HITS_SQL} SELECT question_id, string_agg('[근거 ' || rank || '] ' || CASE WHEN page IS NULL THEN coalesce(nullif(title, ''), '(제목 없음)')
+ ELSE coalesce(nullif(title, ''), '(제목 없음)') || ' - ' || page || '페이지' END || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY 1""")
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rag.contexts(_hits(spark, sf_dir))
 
@@ -282,9 +276,9 @@ def quality_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boards(spark, sf_dir).select("school_id", "run", "listing_rows", F.round("title_ratio", 9).alias("title_ratio"), F.round("date_ratio", 9).alias("date_ratio"))
 
 
-@query("quality_rollup", f"WITH {_BOARD_SQL} SELECT school_id, count(*) AS boards, CASE WHEN bool_and(listing_rows >= 3 AND title_ratio >= 0.9 AND date_ratio >= 0.9) THEN 'ok' ELSE 'degraded' END AS state FROM board GROUP BY 1")
+@query("quality_rollup", f"WITH {_BOARD_SQL} SELECT s.school_id, count(b.run) AS boards, CASE WHEN count(b.run) = 0 THEN 'unknown' WHEN bool_and(listing_rows >= 1 AND title_ratio >= 0.9 AND date_ratio >= 0.7) THEN 'ok' ELSE 'warning' END AS state FROM schools s LEFT JOIN board b USING (school_id) GROUP BY 1")
 def quality_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.rollup(_boards(spark, sf_dir).withColumn("checked_at", F.col("run")), "school_id").drop("checked_at")
+    return quality.rollup(_boards(spark, sf_dir).withColumn("checked_at", F.col("run")), table(spark, sf_dir, "schools"), "school_id").drop("checked_at")
 
 
 @query("latest_crawl_quality", f"WITH {_BOARD_SQL} SELECT b.school_id, b.run, b.listing_rows FROM board b JOIN (SELECT school_id, max(run) AS run FROM board GROUP BY 1) l ON b.school_id = l.school_id AND b.run = l.run")
@@ -297,8 +291,14 @@ def listing_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.drops(_boards(spark, sf_dir), ["school_id"], "run", "listing_rows").select("school_id", "run", "previous", "dropped")
 
 
-@query("spec_acceptance", f"""WITH {_BOARD_SQL}, f AS (SELECT school_id, unnest([CASE WHEN listing_rows < 3 THEN 'FEW_ROWS' END, CASE WHEN title_ratio < 0.9 THEN 'MISSING_TITLES' END, CASE WHEN date_ratio < 0.9 THEN 'MISSING_DATES' END]) AS code FROM board)
-SELECT school_id, count(*) FILTER (WHERE code = 'FEW_ROWS') = 0 AND count(*) FILTER (WHERE code = 'MISSING_DATES') <= 3 // 2 AS accepted FROM f WHERE code IS NOT NULL GROUP BY 1""")
+@query("spec_acceptance", f"""WITH {_BOARD_SQL}, f AS (
+ SELECT school_id, CASE WHEN title_ratio < 0.9 THEN 'MISSING_TITLES' END AS code FROM board UNION ALL SELECT school_id, CASE WHEN date_ratio < 0.7 THEN 'MISSING_DATES' END FROM board
+ UNION ALL SELECT school_id, CASE WHEN length(trim(content, chr(10) || ' ')) < 50 THEN 'EMPTY_CONTENT' END FROM notice_docs)
+SELECT school_id, count(*) FILTER (WHERE code = 'MISSING_TITLES') = 0 AND (count(*) FILTER (WHERE code = 'EMPTY_CONTENT') = 0 OR count(*) FILTER (WHERE code = 'EMPTY_CONTENT') <= any_value(n) // 2) AS accepted
+FROM f JOIN (SELECT school_id, count(*) AS n FROM notice_docs GROUP BY 1) USING (school_id) GROUP BY 1""")
 def spec_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings = _boards(spark, sf_dir).select("school_id", F.explode("findings").alias("code"))
-    return quality.acceptable(findings, ["school_id"], ("FEW_ROWS",), ("MISSING_DATES",), 3)
+    boards = _boards(spark, sf_dir).select("school_id", F.explode_outer("findings").alias("code"))
+    docs = table(spark, sf_dir, "notice_docs")
+    short = docs.select("school_id", F.when(F.length(F.expr("trim(BOTH '\\n ' FROM content)")) < quality.MIN_CONTENT, "EMPTY_CONTENT").alias("code"))
+    samples = docs.groupBy("school_id").agg(F.count("*").alias("samples"))
+    return quality.acceptable(boards.unionByName(short).join(samples, "school_id"), ["school_id"], "samples")

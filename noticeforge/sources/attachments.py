@@ -1,4 +1,4 @@
-"""Texts of uploaded files, read with the standard library only: TXT, MD, HWPX, and HWP section records."""
+"""Texts of uploaded files, read with the standard library only: TXT, MD, HWPX and HWP; PDF where its library is installed."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import re
 import struct
 import zipfile
 import zlib
+from collections.abc import Callable
+from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -81,28 +83,136 @@ def hwp_section(data: bytes, packed: bool = True) -> str:
     return "\n".join(x for x in out if x)
 
 
-_READERS = {".txt": lambda d: [plain_text(d)], ".md": lambda d: [plain_text(d)], ".hwpx": hwpx_sections}
-_RESULT = T.StructType([T.StructField("units", T.ArrayType(T.StringType())), T.StructField("error_code", T.StringType())])
+class Unreadable(Exception):
+    """A file that can't be read, with the code that says why."""
+
+
+#: Fixed values of the compound file format: its signature, and marks in its tables.
+_MAGIC, _FREE, _ROOT, _STREAM = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", 0xFFFFFFFA, 5, 2
+
+
+class Compound:
+    """The streams of a compound file (OLE 2): a file system of sectors in a file."""
+
+    def __init__(self, data: bytes) -> None:
+        if data[:8] != _MAGIC or len(data) < 512:
+            raise Unreadable("HWP_PARSE_FAILED")
+        self.data, self.size, small = data, 1 << struct.unpack_from("<H", data, 30)[0], 1 << struct.unpack_from("<H", data, 32)[0]
+        start, _, self.cutoff, mini_start, _, more, n_more = struct.unpack_from("<IIIIIII", data, 48)
+        table = [*struct.unpack_from("<109I", data, 76)]
+        for _ in range(min(n_more, len(data) // self.size)):
+            part = self._sector(more)
+            table += struct.unpack(f"<{self.size // 4 - 1}I", part[: self.size - 4])
+            (more,) = struct.unpack_from("<I", part, self.size - 4)
+        self.fat = [n for t in table if t < _FREE for n in struct.unpack(f"<{self.size // 4}I", self._sector(t))]
+        entries = self._chain(start, self.fat, self._sector)
+        self.entries = [entries[i : i + 128] for i in range(0, len(entries) - 127, 128)]
+        mini = self._chain(mini_start, self.fat, self._sector)
+        self.mini_fat = struct.unpack(f"<{len(mini) // 4}I", mini[: len(mini) // 4 * 4])
+        first, length = struct.unpack_from("<II", self.entries[0], 116)
+        pool = self._chain(first, self.fat, self._sector)[:length]
+        self._mini = lambda n: pool[n * small : (n + 1) * small]
+
+    def _sector(self, n: int) -> bytes:
+        at = (n + 1) * self.size
+        if at + self.size > len(self.data) + self.size - 1:
+            raise Unreadable("HWP_PARSE_FAILED")
+        return self.data[at : at + self.size].ljust(self.size, b"\0")
+
+    @staticmethod
+    def _chain(n: int, table, read) -> bytes:  # noqa: ANN001
+        out, left = [], len(table)
+        while n < _FREE:
+            if left < 0 or n >= len(table):
+                raise Unreadable("HWP_PARSE_FAILED")
+            out.append(read(n))
+            n, left = table[n], left - 1
+        return b"".join(out)
+
+    def streams(self) -> dict[str, bytes]:
+        """Path -> content of every stream; the root has no name."""
+        out: dict[str, bytes] = {}
+        todo, seen = [(struct.unpack_from("<I", self.entries[0], 76)[0], "")], set()
+        while todo:
+            n, path = todo.pop()
+            if n >= len(self.entries) or n in seen:
+                continue
+            seen.add(n)
+            e = self.entries[n]
+            length = struct.unpack_from("<H", e, 64)[0]
+            name = path + e[: max(0, length - 2)].decode("utf-16-le", "replace")
+            left, right, child, first, size = struct.unpack_from("<III", e, 68) + struct.unpack_from("<II", e, 116)
+            todo += [(left, path), (right, path)]
+            if e[66] == _STREAM:
+                chain = self._chain(first, self.mini_fat, self._mini) if size < self.cutoff else self._chain(first, self.fat, self._sector)
+                out[name] = chain[:size]
+            else:
+                todo.append((child, name + "/"))
+        return out
+
+
+def hwp_sections(data: bytes) -> list[str]:
+    """The sections of a HWP 5 file by number; locked files can't be read."""
+    streams = Compound(data).streams()
+    head = streams.get("FileHeader", b"")
+    if len(head) < 40:
+        raise Unreadable("HWP_PARSE_FAILED")
+    flags = int.from_bytes(head[36:40], "little")
+    if flags & 2:
+        raise Unreadable("HWP_ENCRYPTED")
+    names = sorted((int(m[1]), n) for n in streams if (m := re.fullmatch(r"BodyText/Section(\d+)", n)))
+    if not names:
+        raise Unreadable("HWP_PARSE_FAILED")
+    return [hwp_section(streams[n], bool(flags & 1)) for _, n in names]
+
+
+def pdf_pages(data: bytes) -> list[str]:
+    """The texts of a PDF's pages, an empty one for a page without text; needs the optional library pdfplumber."""
+    try:
+        import pdfplumber
+    except ImportError as error:
+        raise Unreadable("PDF_BACKEND_MISSING") from error
+    try:
+        with pdfplumber.open(io.BytesIO(data)) as pdf:
+            return [page.extract_text() or "" for page in pdf.pages]
+    except Exception as error:
+        raise Unreadable("PDF_PARSE_FAILED") from error
+
+
+#: Readers by suffix, with whether their units are pages, and the code where one fails in a way of its own. Others may be registered.
+READERS: dict[str, tuple[Callable[[bytes], list[str]], bool, str]] = {
+    ".txt": (lambda d: [plain_text(d)], False, "TEXT_PARSE_FAILED"), ".md": (lambda d: [plain_text(d)], False, "TEXT_PARSE_FAILED"), ".hwpx": (hwpx_sections, False, "HWPX_PARSE_FAILED"),
+    ".hwp": (hwp_sections, False, "HWP_PARSE_FAILED"), ".pdf": (pdf_pages, True, "PDF_PARSE_FAILED"),
+}
+_RESULT = T.StructType([T.StructField("units", T.ArrayType(T.StringType())), T.StructField("paged", T.BooleanType()), T.StructField("error_code", T.StringType())])
+
+
+def suffix(path: str | None) -> str:
+    """The suffix of a file's name in lower case; a dot at its beginning makes none."""
+    return PurePosixPath(path or "").suffix.lower()
+
+
+def read_file(path: str | None, data: bytes | None) -> dict:
+    """units, paged, error_code of one file; an error leaves no units."""
+    reader, paged, failed = READERS.get(suffix(path), (None, False, None))
+    if reader is None:
+        return {"units": None, "paged": False, "error_code": "UNSUPPORTED_FILE_TYPE"}
+    try:
+        units = list(reader(data or b""))
+    except Unreadable as error:
+        return {"units": None, "paged": paged, "error_code": str(error)}
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError, OverflowError, zlib.error, struct.error):
+        return {"units": None, "paged": paged, "error_code": failed}
+    return {"units": units, "paged": paged, "error_code": None if any(u.strip() for u in units) else "EMPTY_CONTENT"}
 
 
 @arrow_udf(_RESULT)
 def _read(paths: pa.Array, contents: pa.Array) -> pa.Array:
-    out = []
-    for path, data in zip(paths.to_pylist(), contents.to_pylist(), strict=True):
-        reader = _READERS.get("." + (path or "").rpartition(".")[2].lower())
-        units, error = None, None
-        if reader is None:
-            error = "UNSUPPORTED_TYPE"
-        else:
-            try:
-                units = [u for u in reader(data or b"")]
-                error = None if any(u.strip() for u in units) else "EMPTY_CONTENT"
-            except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, zlib.error):
-                error = "PARSE_FAILED"
-        out.append({"units": units, "error_code": error})
-    return pa.array(out, pa.struct([("units", pa.list_(pa.string())), ("error_code", pa.string())]))
+    rows = [read_file(p, d) for p, d in zip(paths.to_pylist(), contents.to_pylist(), strict=True)]
+    return pa.array(rows, pa.struct([("units", pa.list_(pa.string())), ("paged", pa.bool_()), ("error_code", pa.string())]))
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """files (path, content: as of the binaryFile source) with units and error_code; a file that can't be read has no units."""
-    return files.withColumn("__r", _read("path", "content")).select(*files.columns, F.col("__r.units").alias("units"), F.col("__r.error_code").alias("error_code"))
+    """files (path, content: as of the binaryFile source) with units, paged and error_code; a file that can't be read has no units."""
+    told = files.withColumn("__r", _read("path", "content"))
+    return told.select(*files.columns, F.col("__r.units").alias("units"), F.col("__r.paged").alias("paged"), F.col("__r.error_code").alias("error_code"))

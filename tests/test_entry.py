@@ -24,16 +24,20 @@ def test_core_query_matches_its_sql(spark: SparkSession, name: str) -> None:
     import duckdb
 
     df = entry.queries()[name](spark, SF)
-    rows = df.collect()
+    rows = [tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect()]
     sql = entry.oracle_sql().get(name)
     if sql is None:
         return
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
+    con.execute("SET TimeZone = 'UTC'")
     rel = con.sql(sql)
     assert sorted(rel.columns) == sorted(df.columns)
-    assert len(rel.fetchall()) == len(rows)
+    order = [rel.columns.index(c) for c in df.columns]
+    want = [tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in rel.fetchall()]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, rows)) == sorted(map(key, want))
 
 
 def test_core_does_not_import_the_subpackage() -> None:

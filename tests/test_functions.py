@@ -42,9 +42,14 @@ def test_chunks_equal_brute_force(spark: SparkSession) -> None:
 
 
 def test_norm_key_and_titles(spark: SparkSession) -> None:
-    df = spark.createDataFrame([("부서·기관", "학생 생활-상담소", "[공지] 국가장학금 신청 안내", "국가장학금 신청 안내 (1차)")], "a string, b string, c string, d string")
-    r = df.select(text.norm_key(F.col("a"), F.col("b")), text.titles_match(F.col("c"), F.col("d")), text.titles_match(F.col("c"), F.lit("전혀 다른 제목의 글"))).first()
-    assert r[0] == "부서기관:학생생활상담소" and r[1] is True and r[2] is False
+    df = spark.createDataFrame([("부서·기관", "학생 생활-상담소 ＡＢⅣ", "[공지] 국가장학금 신청 안내", "국가장학금 신청 안내 (1차)")], "a string, b string, c string, d string")
+    match = lambda x, y, z: text.titles_match(F.lit(x), F.lit(y), F.lit(z))
+    r = df.select(
+        text.norm_key(F.col("a"), F.col("b")), text.titles_match(F.col("c"), F.col("d"), F.lit("본문")), text.titles_match(F.col("c"), F.lit("전혀 다른 제목의 글"), F.lit("")),
+        match("새글 N", "a", "b"), match("짧은", "다른", "글에 짧 은 말"), match("[말머리] 아주 긴 제목의 공고문", "아주 긴 제목의 공고문", ""), match("아주 긴 제목의 글", "아주 긴 제목의 글 분류 학사", None), match(None, None, None),
+    ).first()
+    assert tuple(r) == ("부서기관:학생생활상담소abiv", True, False, True, True, True, True, True)
+
 
 
 def test_urls(spark: SparkSession) -> None:
@@ -67,7 +72,7 @@ def test_dates_and_schedules(spark: SparkSession) -> None:
     dates = {"2026. 7. 31.": "2026-07-31", "26.08.05": "2026-08-05", "2026-02-30": None, "없음": None, "작성일 2026/1/2 조회": "2026-01-02", None: None}
     got = {r[0]: r[1] for r in spark.createDataFrame([(d,) for d in dates], "d string").select("d", times.parse_date(F.col("d")).cast("date").cast("string")).collect()}
     assert got == dates
-    kinds = {"daily": ("interval", 86400), "30s": ("interval", 30), "3600": ("interval", 3600), "0 3 * * *": ("cron", None), "off": ("disabled", None), None: ("disabled", None), "every day": ("invalid", None)}
+    kinds = {"daily": ("interval", 86400), "30s": ("interval", 30), "3600": ("interval", 3600), "0 3 * * *": ("cron", None), "off": ("invalid", None), "NULL": ("disabled", None), "15 m": ("interval", 900), None: ("disabled", None), "every day": ("invalid", None)}
     got = {r[0]: (r[1], r[2]) for r in spark.createDataFrame([(d,) for d in kinds], "s string").select("s", times.schedule_kind(F.col("s")), times.schedule_seconds(F.col("s"))).collect()}
     assert got == kinds
     ticks = [("0 3 * * *", "2026-01-01 03:00:00", True), ("*/15 * * * *", "2026-01-01 03:10:00", False), ("0 0 1 * 0", "2026-01-04 00:00:00", True), ("0 0 1 * 7", "2026-01-05 00:00:00", False), ("bad", "2026-01-01 00:00:00", False)]
@@ -77,26 +82,46 @@ def test_dates_and_schedules(spark: SparkSession) -> None:
     assert waits[0] == waits[1] == 60 and waits[2] == 120 and waits[-1] == 30720
 
 
+def test_listing_rules() -> None:
+    page = html.parse("<table><tbody><tr><td>1</td><td>학사</td><td><a href='v?id=3'>하나</a></td><td>팀</td><td>2026-01-02</td></tr><tr><td>x</td></tr><tr><td><a href='#2' data-n='go(7)'>둘</a></td><td class=d></td><td>No. 3</td></tr></tbody></table>")
+    got = html.listing_items(page, "http://h/b/l.do", None)
+    assert [(i["url"], i["title"], i["category"], i["author"], i["published"]) for i in got] == [("http://h/b/v?id=3", "하나", "학사", "팀", "2026-01-02"), ("http://h/b/l.do#2", "둘", None, None, "No. 3")]
+    spec = {"row": ["dl", "tr"], "detail_link": "a[data-n]", "detail_link_attr": "data-n", "detail_link_pattern": r"go\((\d+)\)", "detail_link_template": "/v/{0}", "date": [".d", "td:last-of-type"], "category": "td:nth-of-type(3)", "category_ignore": r"No\.\s*\d+"}
+    assert html.listing_items(page, "http://h/b/", spec) == [{"url": "http://h/v/7", "title": "둘", "category": None, "author": None, "published": "No. 3"}]
+    assert html.listing_items(page, "http://h/b/", spec | {"detail_link_template": "/v/{1}"}) == [] and html.next_page(page, "http://h/", None) is None
+    assert html.read_spec("{") is html.read_spec("[]") is html.read_spec('{"listing": {"row": []}}') is html.read_spec(None) is None
+    assert html.content("<main><p>가</p></main>", '{"listing": {"row": "r", "detail_link": "a"}, "detail": {"body": ".x"}}', None)["parser"] == "common"
+    assert html.content("<div class=x></div><p>가</p>", '{"listing": {"row": "r", "detail_link": "a"}, "detail": {"body": ".x"}}', None)["content"] == ""
+
+
+def test_digest_keeps_the_structure() -> None:
+    rows = "".join(f"<tr class='{'top' if i < 5 else ''}'><td><a href='/v/{i}'>{'긴 제목 ' * 40}</a></td></tr>" for i in range(60))
+    page = f"<html><head><style>x</style></head><body><nav>{''.join(f'<ul><li><a href=/n{i}.do style=a>메뉴</a></li></ul>' for i in range(70))}</nav><table>{rows}</table><div class=paging>{'<span>1</span>' * 9}</div></body></html>"
+    out = html.digest(page)
+    assert len(out) < len(page) / 2 and out.count("<tr") == 7 and "tr: 51 more" in out and "style" not in out and out.count("<span>") == 9 and "10 links more" in out
+    assert html.digest(None) == "" and "x" in html.digest("<div>" * 3000 + "x")
+
+
 def test_html_tree() -> None:
     page = "<html><head><title>t</title></head><body><nav><a href='/n'>menu</a></nav><article class='content x'><h1>제목</h1><p>하나<p>둘 <b>셋</b><ul><li>넷</li><li>넷</li></ul><button>목록</button></article></body></html>"
     root = html.parse(page)
     assert html.first_text(root, html.TITLES) == "제목"
     assert [n.attrs["href"] for n in html.select(root, "nav > a[href^='/']")] == ["/n"]
     assert [n.text() for n in html.select(root, "li:nth-of-type(2), .content.x h1")] == ["제목", "넷"]
-    assert html.body_text(html.strip_noise(root)).split("\n")[0] == "제목" and "menu" not in html.body_text(root)
-    assert html.parse(None).text() == "" and html.body_text(html.parse("<p>a")) == "a"
+    assert html.block_text(html.strip_noise(root)).split("\n")[0] == "제목" and "menu" not in html.block_text(root)
+    assert html.parse(None).text() == "" and html.block_text(html.parse("<p>a")) == "a"
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=200))
 def test_html_never_fails(page: str) -> None:
-    html.body_text(html.strip_noise(html.parse("<p>" + page)))
+    html.block_text(html.strip_noise(html.parse("<p>" + page)))
 
 
 def test_read_page(spark: SparkSession) -> None:
     df = spark.createDataFrame([("<h1>a</h1><a href='f.pdf'>x</a>", "http://h/d/"), (None, None), ("", None)], "p string, u string")
     got = [r["r"] for r in df.select(html.read_page("p", "u").alias("r")).collect()]
-    assert got[0]["links"] == got[0]["attachments"] == ["http://h/d/f.pdf"] and got[1] is None and got[2]["content"] == ""
+    assert got[0]["links"] == [a["url"] for a in got[0]["attachments"]] == ["http://h/d/f.pdf"] and got[1] is None and got[2]["content"] == ""
 
 
 def test_attachment_formats(spark: SparkSession) -> None:
@@ -112,8 +137,57 @@ def test_attachment_formats(spark: SparkSession) -> None:
     files = [("a.HWPX", data.getvalue()), ("b.txt", "한글".encode("cp949")), ("c.exe", b"x"), ("d.md", b"  "), ("e.hwpx", b"no zip"), (None, None)]
     got = {r["path"]: (r["units"], r["error_code"]) for r in attachments.read_files(spark.createDataFrame(files, "path string, content binary")).collect()}
     assert got["a.HWPX"] == (["가나", "b"], None) and got["b.txt"] == (["한글"], None)
-    assert [got[k][1] for k in ("c.exe", "d.md", "e.hwpx", None)] == ["UNSUPPORTED_TYPE", "EMPTY_CONTENT", "PARSE_FAILED", "UNSUPPORTED_TYPE"]
+    assert [got[k][1] for k in ("c.exe", "d.md", "e.hwpx", None)] == ["UNSUPPORTED_FILE_TYPE", "EMPTY_CONTENT", "HWPX_PARSE_FAILED", "UNSUPPORTED_FILE_TYPE"]
     units = struct.pack("<12H", ord("가"), 2, 0, 0, 0, 0, 0, 0, 0, 13, ord("b"), 31)
     record = struct.pack("<I", 67 | len(units) << 20) + units + struct.pack("<I", 66)
     pack = zlib.compressobj(9, zlib.DEFLATED, -15)
     assert attachments.hwp_section(pack.compress(record) + pack.flush()) == "가\nb"
+
+
+def compound(streams: dict[str, bytes]) -> bytes:
+    """A compound file of storages and streams, all in plain sectors."""
+    import struct
+
+    body, fat, places = [b""], [0xFFFFFFFD], {}
+    for name, data in streams.items():
+        n = max(1, -(-len(data) // 512))
+        places[name] = (len(fat), len(data))
+        fat += [len(fat) + i + 1 for i in range(n - 1)] + [0xFFFFFFFE]
+        body += [data[i * 512 : (i + 1) * 512].ljust(512, b"\0") for i in range(n)]
+    names = ["Root Entry", "BodyText", *streams]
+    children = [i + 2 for i, n in enumerate(streams) if "/" in n]
+    top = [1] + [i + 2 for i, n in enumerate(streams) if "/" not in n]
+    entries = []
+    for i, name in enumerate(names):
+        raw = name.split("/")[-1].encode("utf-16-le")
+        kin = top if i in top else children
+        right = kin[kin.index(i) + 1] if i in kin and kin.index(i) + 1 < len(kin) else 0xFFFFFFFF
+        child = top[0] if i == 0 else children[0] if i == 1 and children else 0xFFFFFFFF
+        first, size = places.get(name, (0xFFFFFFFE, 0))
+        entries.append(raw.ljust(64, b"\0") + struct.pack("<HBBIII", len(raw) + 2, 5 if i == 0 else 1 if i == 1 else 2, 1, 0xFFFFFFFF, right, child) + b"\0" * 36 + struct.pack("<IQ", first, size))
+    directory = b"".join(e.ljust(128, b"\0") for e in entries)
+    at, n = len(fat), -(-len(directory) // 512)
+    fat += [len(fat) + i + 1 for i in range(n - 1)] + [0xFFFFFFFE]
+    body += [directory[i * 512 : (i + 1) * 512].ljust(512, b"\0") for i in range(n)]
+    body[0] = struct.pack(f"<{len(fat)}I", *fat).ljust(512, b"\xff")
+    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\0" * 16 + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + b"\0" * 10
+    head += struct.pack("<IIIIIIII", 1, at, 0, 0, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0) + struct.pack("<109I", 0, *[0xFFFFFFFF] * 108)
+    return head.ljust(512, b"\0") + b"".join(body)
+
+
+def test_hwp_files() -> None:
+    import struct
+    import zlib
+
+    def section(t: str) -> bytes:
+        units = t.encode("utf-16-le")
+        pack = zlib.compressobj(9, zlib.DEFLATED, -15)
+        return pack.compress(struct.pack("<I", 67 | len(units) << 20) + units) + pack.flush()
+
+    head = lambda flags: b"HWP Document File".ljust(36, b"\0") + struct.pack("<I", flags)
+    files = {"FileHeader": head(1), "BodyText/Section10": section("나"), "BodyText/Section2": section("가" * 400)}
+    read = lambda d, name="a.HWP": attachments.read_file(name, d)
+    assert read(compound(files)) == {"units": ["가" * 400, "나"], "paged": False, "error_code": None}
+    assert read(compound(files | {"FileHeader": head(3)}))["error_code"] == "HWP_ENCRYPTED"
+    assert read(compound({"FileHeader": head(1)}))["error_code"] == read(b"x")["error_code"] == read(None)["error_code"] == read(compound(files)[:1600])["error_code"] == "HWP_PARSE_FAILED"
+    assert read(b"%PDF", "a.pdf")["error_code"] in ("PDF_BACKEND_MISSING", "PDF_PARSE_FAILED") and attachments.suffix(".pdf") == ""

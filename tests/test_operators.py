@@ -64,8 +64,8 @@ def test_hybrid_and_context(spark: SparkSession) -> None:
     d = spark.createDataFrame([(1, 5, 0.9, 1), (2, 6, 0.4, 1), (3, 7, 0.1, 1)], hit)
     assert {(r["question_id"], r["stage"], r["item_id"]) for r in rag.hybrid(g, d).collect()} == {(1, "graph", 1), (2, "document", 6)}
     hits = spark.createDataFrame([(1, "u", "t", 3, 2, "b"), (1, "u", "t", 1, 1, "a"), (1, "v", None, None, 3, None)], "question_id long, url string, title string, page int, rank long, content string")
-    assert rag.contexts(hits).first()["context"] == "[1] t - 1p\na\n\n[2] t - 3p\nb\n\n[3] (제목 없음)\n"
-    assert {r["url"]: r["label"] for r in rag.merge_sources(hits).collect()} == {"u": "t - 1, 3페이지", "v": None}
+    assert rag.contexts(hits).first()["context"] == "[근거 1] t - 1페이지\na\n\n[근거 2] t - 3페이지\nb\n\n[근거 3] (제목 없음)\n"
+    assert {r["url"]: r["label"] for r in rag.merge_sources(hits).collect()} == {"u": "t - 1, 3페이지", "v": "(제목 없음)"}
 
 
 def test_crawl_rules(spark: SparkSession) -> None:
@@ -76,8 +76,20 @@ def test_crawl_rules(spark: SparkSession) -> None:
     assert [r["pos"] for r in crawl.round_robin(items, "g", "board", "pos").orderBy("place").collect()] == [1, 5, 2]
     chunks = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 2, "b"), (1, 3, "c")], "g int, o int, k string")
     assert {r["o"] for r in crawl.node_cap(chunks, "g", "o", "k", 2).collect()} == {1, 2}
-    findings = spark.createDataFrame([(1, "S"), (1, "S"), (2, "B"), (3, "S")], "t int, code string")
-    assert {r["t"]: r["accepted"] for r in quality.acceptable(findings, ["t"], ("B",), ("S",), 3).collect()} == {1: False, 2: False, 3: True}
+
+
+def test_quality_rules(spark: SparkSession) -> None:
+    codes = [(1, "EMPTY_CONTENT", 3), (1, "TITLE_MISMATCH", 3), (2, "MISSING_TITLES", 9), (3, "NEIGHBOUR_LEAK", 3), (4, "MISSING_DATES", 0), (5, None, 0), (6, "EMPTY_CONTENT", 1)]
+    findings = spark.createDataFrame(codes, "t int, code string, n int")
+    assert {r["t"]: r["accepted"] for r in quality.acceptable(findings, ["t"], "n").collect()} == {1: False, 2: False, 3: True, 4: True, 5: True, 6: False}
+    items = spark.createDataFrame([(1, "u", "t", None, True), (1, "v", " ", None, False), (2, None, None, None, None)], "b int, url string, title string, published_at timestamp, loop boolean")
+    got = {r["b"]: (r["listing_rows"], r["findings"]) for r in quality.board_quality(items, ["b"], "loop").collect()}
+    assert got == {1: (2, ["MISSING_TITLES", "MISSING_DATES", "PAGINATION_LOOP"]), 2: (0, ["NO_LISTING_ROWS"])}
+    pages = spark.createDataFrame([(1, "p", "제목", "제목", "짧다", True), (1, "q", "제목", "제목", "가" * 60 + " 다른 글", False), (1, "r", None, None, None, None)], "b int, page string, hint string, title string, content string, fallback boolean")
+    titles = spark.createDataFrame([(1, "제목"), (1, "다른 글"), (1, "--"), (2, "짧다")], "b int, title string")
+    assert {r["page"]: r["findings"] for r in quality.detail_findings(pages, titles, ["b"], "page").collect()} == {"p": ["EMPTY_CONTENT", "BODY_FALLBACK"], "q": ["NEIGHBOUR_LEAK"], "r": ["EMPTY_CONTENT"]}
+    boards = spark.createDataFrame([(1, [], 5), (1, ["X"], 4), (2, [], 3)], "s int, findings array<string>, checked_at int")
+    assert {r["s"]: (r["state"], r["boards"], r["checked_at"]) for r in quality.rollup(boards, spark.range(1, 4).select(F.col("id").cast("int").alias("s")), "s").collect()} == {1: ("warning", 2, 5), 2: ("ok", 1, 3), 3: ("unknown", 0, None)}
 
 
 def test_stream_maintains_versions(spark: SparkSession, tmp_path: Path) -> None:
