@@ -136,5 +136,5 @@ def p6_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return sentences.split_sentences(docs, sentences.train(docs))
+    places = sentences.candidate_table(table(spark, sf_dir, "documents"))
+    return sentences.split_sentences(places, sentences.train(places))

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
 
-from noticeforge.plans.joins import spread
+from noticeforge.plans.joins import fan_out
 from noticeforge.sources.tables import materialized
 
-#: n-grams that the model keeps (the most frequent of all documents), and those that are seen less often than this.
-MAX_NGRAMS, MIN_COUNT = 400_000, 2
+#: Counters of n-grams in each of two tables, by two hashes: 32 MB whatever the input. n-grams that meet in a counter share it; of
+#: an n-gram's two counters the smaller one holds, so that one of a few counts does not speak for a frequent one or the other way
+#: round. None is left out for being rare, but what was seen less often than MIN_COUNT says nothing.
+SLOTS, MIN_COUNT = 1 << 21, 2
 ROUNDS = 4
 #: Share of undecided places that are taken for boundaries before anything is known about the words around, by kind:
 #: a mark with and without a blank after it, a blank in Thai, a line break without and with a mark.
@@ -29,10 +31,10 @@ SLACK = 0.85
 _TOKEN = regex.compile(
     r"(?P<nl>[^\S\n\r\x0b\x0c\x1c-\x1e\x85  ]*(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])[\s﻿]*)"
     r"|(?P<sp>[\s﻿​]+)"
-    r"|(?P<end>[.!?…。．！？｡।॥؟۔‥⁇⁈⁉]+)"
+    r"|(?P<end>[.!?…。．！？｡।॥؟۔‥⁇⁈⁉။។៕]+)"
     r"|(?P<open>[“‘「『（(\[【《<«„‚〈])"
     r"|(?P<close>[”’」』）)\]】》>»〉\"'＂])"
-    r"|(?P<thai>\p{Thai}+)"
+    r"|(?P<thai>[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+)"
     r"|(?P<cjk>[\p{Han}\p{Hiragana}\p{Katakana}ー]+)"
     r"|(?P<num>\d+(?:[,:/\-]\d+)*)"
     r"|(?P<word>[\p{L}\p{M}][\p{L}\p{M}‌‍'’]*)"
@@ -228,18 +230,6 @@ def _break(text: str, token: tuple[str, int, int], line: int, forced: list[bool]
     return Candidate(token[1], token[2], "W" if kind == "B" and known is None else kind, known, l2, l1, *right, since <= 1)
 
 
-class Model(NamedTuple):
-    """Counts of n-grams with the boundary event (b) and without (n); seed: n counts the undecided places instead."""
-
-    b: dict[str, float]
-    n: dict[str, float]
-    seed: bool = False
-
-
-#: Joins the parts of an n-gram.
-_SEP = "\x1f"
-
-
 def _script(word: str) -> str:
     """The script of a word's first letter, as one character."""
     c = word[:1]
@@ -254,179 +244,285 @@ def _script(word: str) -> str:
 
 
 #: Ranges of the scripts that differ in how they mark sentences; all other letters count as Latin.
-_SCRIPTS = (("H", "가", "힣"), ("T", "฀", "๿"), ("D", "ऀ", "ॿ"), ("A", "؀", "ۿ"), ("C", "぀", "ヿ"), ("C", "㐀", "鿿"))
+_SCRIPTS = (("H", "가", "힣"), ("T", "฀", "๿"), ("T", "\u0e80", "\u0eff"), ("T", "\u1780", "\u17ff"), ("T", "\u1000", "\u109f"), ("D", "ऀ", "ॿ"), ("A", "؀", "ۿ"), ("C", "぀", "ヿ"), ("C", "㐀", "鿿"))
 
 
-def _ngrams(c: Candidate) -> tuple[str, ...]:
-    script = _script(c.r1)
-    # Thai lines end as sentences between blanks do, so their known ends tell about these.
-    k = ("P" if c.kind in "bp" else "T" if c.kind == "B" and script == "T" else c.kind) + script
-    # What a unit ends with, whatever follows: the last word, or the mark and the word before it.
-    end = c.l1 if c.kind in "BTW" else f"{c.l1}{_SEP}{c.l2}"
-    # A number after a number's period and one after a word's are different things.
-    first = c.r1 + "#" if c.r1 == c.l2 == "0" else c.r1
-    return (f"k{_SEP}{k}", f"1{_SEP}{k}{_SEP}{c.l1}", f"2{_SEP}{k}{_SEP}{c.l1}{_SEP}{c.l2}", f"r{_SEP}{first}", f"s{_SEP}{first}{_SEP}{c.r2}", f"d{_SEP}{k}{_SEP}{int(c.near)}", "*", f"e{_SEP}{end}")
+#: A candidate as it is stored: trimmed end and start, kind, known event (-1: none), marks, and the hashes of its n-grams. The first
+#: record of a text holds where its first unit starts and its last one ends.
+_RECORD = np.dtype([("end", "<i4"), ("start", "<i4"), ("kind", "i1"), ("known", "i1"), ("marks", "u1"), ("grams", "<u8", 7)])
+KINDS = "PpTBWb"
+_HEAD = -1
+#: Marks: at most one word since the last candidate; the next word is a number; the words around speak against a boundary.
+_NEAR, _NUMBER, _AGAINST = 1, 2, 4
+#: Places of the n-grams: the kind; with the word before; with two; the word after; with its successor; the nearness; the unit's end.
+_K, _ONE, _TWO, _NEXT, _AFTER, _NEARNESS, _END = range(7)
+_ALL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def log_odds(model: Model, c: Candidate) -> float:
-    """log P(event, following words | preceding words) with a boundary over without, by interpolated n-grams."""
-    k, one, two, r, rr, _, all_, end = _ngrams(c)
-    b, n = model.b, model.n
-    if model.seed:
-        # From known boundaries alone: whether the words around are ever seen at one, against how often at undecided places.
-        out = math.log(SEED_PRIOR[c.kind] / (1 - SEED_PRIOR[c.kind]))
-        for key, never in ((r, 2.0), (end, 3.0)):
-            at, else_ = b.get(key, 0.0), n.get(key, 0.0)
-            if key == r and c.r1 == "0":
-                out -= 2.0  # a number begins list items, but seldom sentences
-            elif at >= 2 and at >= 0.02 * (at + else_):
-                out += 2.0
-            elif else_ >= 20 and at < 0.005 * (at + else_):
-                out -= never
-        script = _script(c.r1)
-        if script == "L" and (c.kind == "T" or c.r1[:1].islower()) or c.l2 == c.r1 == "0" and c.l1 == ".":
-            out -= 3.0  # small letters go on, names within Thai too, and a number after a number's period
-        return out
+def _hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its code, the distinct words)."""
+    codes, unique = pd.factorize(np.array(words, object))
+    return pd.util.hash_array(unique, categorize=False)[codes], codes, unique
+
+
+def _mixed(kind: int, *parts: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams of a kind with these parts."""
+    out = np.full(len(parts[0]), 0x9E3779B97F4A7C15 * (kind + 3) & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for part in parts:
+        out = (out ^ part.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _records(texts: list[str]) -> list[np.ndarray]:
+    """The records of each text: its head and its candidates."""
+    found = [candidates(t) for t in texts]
+    flat = [c for cands in found for c in cands]
+    out = np.zeros(len(flat), _RECORD)
+    if flat:
+        kind = np.array([KINDS.index(c.kind) for c in flat])
+        out["kind"], out["known"] = kind, [-1 if c.known is None else c.known for c in flat]
+        (l1, l1_code, l1_words), (l2, l2_code, l2_words), (r1, r1_code, r1_words), (r2, _, _) = (_hashed([getattr(c, f) for c in flat]) for f in ("l1", "l2", "r1", "r2"))
+        of = lambda words, codes, test: np.array([test(w) for w in words], bool)[codes]
+        scripts = np.array([ord(_script(w)) for w in r1_words])[r1_code]
+        number, after_number = of(r1_words, r1_code, lambda w: w == "0"), of(l2_words, l2_code, lambda w: w == "0")
+        small = of(r1_words, r1_code, lambda w: w[:1].islower())
+        is_, near = lambda *names: np.isin(kind, [KINDS.index(n) for n in names]), np.array([c.near for c in flat])
+        # Small letters go on, names within Thai too, and a number after a number's period.
+        against = (scripts == ord("L")) & (is_("T") | small) | number & after_number & of(l1_words, l1_code, lambda w: w == ".")
+        out["marks"] = near * _NEAR + number * _NUMBER + against * _AGAINST
+        # Marks of any place count as one kind; Thai lines end as sentences between blanks do, so their known ends tell about these.
+        group = np.where(is_("P", "p", "b"), 0, np.where(is_("B") & (scripts == ord("T")), KINDS.index("T"), kind))
+        k = (group * 256 + scripts).astype(np.uint64)
+        # A number after a number's period and one after a word's are different things.
+        first = np.where(number & after_number, r1 + np.uint64(1), r1)
+        grams = out["grams"]
+        grams[:, _K], grams[:, _ONE], grams[:, _TWO] = _mixed(_K, k), _mixed(_ONE, k, l1), _mixed(_TWO, k, l1, l2)
+        grams[:, _NEXT], grams[:, _AFTER], grams[:, _NEARNESS] = _mixed(_NEXT, first), _mixed(_AFTER, first, r2), _mixed(_NEARNESS, k, near)
+        # What a unit ends with, whatever follows: the last word, or the mark and the word before it.
+        grams[:, _END] = np.where(is_("B", "T", "W"), _mixed(_END, l1), _mixed(_END, l1, l2))
+    result, at = [], 0
+    for text, cands in zip(texts, found, strict=True):
+        rows = np.zeros(len(cands) + 1, _RECORD)
+        rows[1:] = out[at : at + len(cands)]
+        at += len(cands)
+        rows["start"] = [_skip(text, 0), *(_skip(text, c.start) for c in cands)]
+        rows["end"] = [_back(text, len(text)), *(_back(text, c.end) for c in cands)]
+        rows["kind"][0] = _HEAD
+        result.append(rows)
+    return result
+
+
+def _skip(text: str, at: int) -> int:
+    """The first place from `at` without white space or a byte-order mark."""
+    while at < len(text) and (text[at] in _SPACE or text[at].isspace()):
+        at += 1
+    return at
+
+
+def _back(text: str, at: int) -> int:
+    """The last place up to `at` after something other than white space or a byte-order mark."""
+    while at > 0 and (text[at - 1] in _SPACE or text[at - 1].isspace()):
+        at -= 1
+    return at
+
+
+def _slots(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counters of n-grams in both tables, which stand one behind the other."""
+    low = np.uint64(SLOTS - 1)
+    return (grams & low).astype(np.int64), ((grams >> np.uint64(32)) & low).astype(np.int64) + SLOTS
+
+
+class Model(NamedTuple):
+    """Counts of n-grams by counter with the boundary event (b) and without (n); seed: n counts the undecided places instead."""
+
+    b: np.ndarray
+    n: np.ndarray
+    seed: bool = False
+
+    @classmethod
+    def empty(cls) -> Model:
+        return cls(np.zeros(0, np.float32), np.zeros(0, np.float32))
 
-    def share(key: str, base: float, weight: float) -> float:
-        return (b.get(key, 0.0) + weight * base) / (b.get(key, 0.0) + n.get(key, 0.0) + weight)
+    def counts(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.b):
+            return np.zeros(grams.shape), np.zeros(grams.shape)
+        one, two = _slots(grams)
+        at = np.where(self.b[one] + self.n[one] <= self.b[two] + self.n[two], one, two)
+        return self.b[at].astype(np.float64), self.n[at].astype(np.float64)
 
-    p = share(two, share(one, share(k, 0.5, 2.0), 2.0), 2.0)
-    total_b, total_n = b.get(all_, 0.0) + 1.0, n.get(all_, 0.0) + 1.0
-    out = math.log(p / (1 - p)) if 0 < p < 1 else math.copysign(20.0, p - 0.5)
+
+def log_odds(model: Model, rows: np.ndarray) -> np.ndarray:
+    """log P(event, following words | preceding words) with a boundary over without, by interpolated n-grams, of each record."""
+    b, n = model.counts(rows["grams"].T)
+    number, against = rows["marks"] & _NUMBER > 0, rows["marks"] & _AGAINST > 0
+    if model.seed:
+        # From known boundaries alone: whether the words around are ever seen at one, against how often at undecided places.
+        prior = np.array([SEED_PRIOR[k] for k in KINDS])[rows["kind"]]
+        out = np.log(prior / (1 - prior))
+        for key, never in ((_NEXT, 2.0), (_END, 3.0)):
+            at, other = b[key], n[key]
+            seen = np.where((at >= 2) & (at >= 0.02 * (at + other)), 2.0, np.where((other >= 20) & (at < 0.005 * (at + other)), -never, 0.0))
+            # A number begins list items, but seldom sentences.
+            out += np.where(number, -2.0, seen) if key == _NEXT else seen
+        return out - 3.0 * against
+    share = lambda key, base, weight: (b[key] + weight * base) / (b[key] + n[key] + weight)
+    p = share(_TWO, share(_ONE, share(_K, 0.5, 2.0), 2.0), 2.0)
+    all_b, all_n = (float(x[0]) + 1.0 for x in model.counts(np.array([_ALL])))
     # The next word as one that begins a unit over one that goes on; then its successor given the word.
-    u = 1e-4
-    pb, pn = (b.get(r, 0.0) / total_b + u) / (1 + u), (n.get(r, 0.0) / total_n + u) / (1 + u)
-    out += math.log(pb / pn)
-    cb, cn = b.get(r, 0.0), n.get(r, 0.0)
-    v = 0.05
-    out += math.log(((b.get(rr, 0.0) + v * 4) / (cb + 4)) / ((n.get(rr, 0.0) + v * 4) / (cn + 4)))
-    return max(-25.0, min(25.0, out))
+    u, v = 1e-4, 0.05
+    first = ((b[_NEXT] / all_b + u) / (1 + u)) / ((n[_NEXT] / all_n + u) / (1 + u))
+    then = ((b[_AFTER] + v * 4) / (b[_NEXT] + 4)) / ((n[_AFTER] + v * 4) / (n[_NEXT] + 4))
+    return np.clip(np.log(p / (1 - p)) + np.log(first) + np.log(then), -25.0, 25.0)
 
 
-def posteriors(model: Model, cands: list[Candidate]) -> list[float]:
-    """P(boundary) of each candidate by the forward-backward algorithm over the two events.
+def posteriors(model: Model, rows: np.ndarray) -> np.ndarray:
+    """P(boundary) of each record by the forward-backward algorithm over the two events; 0 at the heads of texts.
 
     Neighbouring candidates are coupled where at most one word lies between them: two boundaries so close make a unit of one
-    word, which is as rare as the model has seen it.
+    word, which is as rare as the model has seen it. Other neighbours are independent given the words, so the algorithm runs
+    over chains of coupled ones, all chains of a batch at once.
     """
-    n = len(cands)
-    if not n:
-        return []
-    odds = []
-    for c in cands:
-        odds.append(-25.0 if c.known == 0 else 25.0 if c.known == 1 else log_odds(model, c))
-    local = [1 / (1 + math.exp(-x)) for x in odds]
-
-    def pair(i: int) -> float:
-        """Factor of boundaries at both i - 1 and i."""
-        c = cands[i]
-        if not c.near or c.known is not None:
-            return 1.0
-        key = _ngrams(c)[5]
-        return max(0.02, min(1.0, (model.b.get(key, 0.0) + 0.1) / (model.b.get(key, 0.0) + model.n.get(key, 0.0) + 1.0)))
-
-    forward = [(1 - local[0], local[0])]
-    for i in range(1, n):
-        f0, f1 = forward[-1]
-        a0, a1 = (f0 + f1) * (1 - local[i]), (f0 + f1 * pair(i)) * local[i]
-        z = a0 + a1 or 1.0
-        forward.append((a0 / z, a1 / z))
-    back = (1.0, 1.0)
-    out = [0.0] * n
-    for i in range(n - 1, -1, -1):
-        p0, p1 = forward[i][0] * back[0], forward[i][1] * back[1]
-        out[i] = p1 / (p0 + p1) if p0 + p1 else local[i]
-        if i:
-            w = pair(i)
-            back = ((1 - local[i]) * back[0] + local[i] * back[1], (1 - local[i]) * back[0] + w * local[i] * back[1])
-            z = back[0] + back[1] or 1.0
-            back = (back[0] / z, back[1] / z)
+    if not len(rows):
+        return np.zeros(0)
+    head, known = rows["kind"] == _HEAD, rows["known"]
+    odds = np.where(known == 0, -25.0, np.where(known == 1, 25.0, log_odds(model, rows)))
+    local = np.where(head, 0.0, 1 / (1 + np.exp(-odds)))
+    b, n = model.counts(rows["grams"][:, _NEARNESS])
+    # A seed knows nothing yet about units of one word.
+    tied = (not model.seed) & (rows["marks"] & _NEAR > 0) & (known < 0) & ~head & ~np.concatenate([[True], head[:-1]])
+    pair = np.where(tied, np.clip((b + 0.1) / (b + n + 1.0), 0.02, 1.0), 1.0)
+    out = local.copy()
+    first = np.flatnonzero(~tied & np.concatenate([tied[1:], [False]]))  # where a chain begins
+    if not len(first):
+        return out
+    ends = np.flatnonzero(tied & ~np.concatenate([tied[1:], [False]]))
+    length = ends - first + 1
+    order = np.argsort(-length, kind="stable")
+    first, length = first[order], length[order]
+    forward = []
+    for j in range(int(length[0])):
+        m = int(np.searchsorted(-length, -j, side="left"))  # chains longer than j
+        at = first[:m] + j
+        if j == 0:
+            f0, f1 = 1 - local[at], local[at]
+        else:
+            g0, g1 = forward[-1][0][:m], forward[-1][1][:m]
+            f0, f1 = (g0 + g1) * (1 - local[at]), (g0 + g1 * pair[at]) * local[at]
+        z = f0 + f1
+        z = np.where(z > 0, z, 1.0)
+        forward.append((f0 / z, f1 / z))
+    back0, back1 = np.ones(len(first)), np.ones(len(first))
+    for j in range(int(length[0]) - 1, -1, -1):
+        m = len(forward[j][0])
+        at = first[:m] + j
+        p0, p1 = forward[j][0] * back0[:m], forward[j][1] * back1[:m]
+        out[at] = np.where(p0 + p1 > 0, p1 / np.where(p0 + p1 > 0, p0 + p1, 1.0), local[at])
+        if j:
+            n0 = (1 - local[at]) * back0[:m] + local[at] * back1[:m]
+            n1 = (1 - local[at]) * back0[:m] + pair[at] * local[at] * back1[:m]
+            z = np.where(n0 + n1 > 0, n0 + n1, 1.0)
+            back0[:m], back1[:m] = n0 / z, n1 / z
     return out
 
 
+def _units(rows: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, start, end) of the units of texts, in order."""
+    if not len(rows):
+        return (np.zeros(0, np.int64),) * 3
+    head = rows["kind"] == _HEAD
+    cut = head | (p > 0.5)
+    text, start, end = (np.cumsum(head) - 1)[cut], rows["start"][cut], rows["end"][cut]
+    heads = np.flatnonzero(head[cut])
+    # A head holds the end of its text's last unit, a boundary that of the unit before it.
+    ends = np.roll(end, -1)
+    ends[np.concatenate([heads[1:], [len(end)]]).astype(np.int64) - 1] = end[heads]
+    ok = start < ends
+    return text[ok], start[ok], ends[ok]
+
+
 def sentence_spans(text: str | None, model: Model) -> list[tuple[int, int]]:
     """(start, end) of the sentence units of a text in code points, without white space or byte-order marks at their ends."""
     if not text:
         return []
-    cands = candidates(text)
-    spans, start = [], 0
-    for c, p in zip(cands, posteriors(model, cands), strict=True):
-        if p > 0.5:
-            spans.append((start, c.end))
-            start = c.start
-    spans.append((start, len(text)))
-    out = []
-    for a, b in spans:
-        while a < b and (text[a] in _SPACE or text[a].isspace()):
-            a += 1
-        while b > a and (text[b - 1] in _SPACE or text[b - 1].isspace()):
-            b -= 1
-        if a < b:
-            out.append((a, b))
-    return out
-
-
-_CONTEXT = T.ArrayType(T.StructType([*[T.StructField(c, T.StringType()) for c in ("kind", "l2", "l1", "r1", "r2")], T.StructField("near", T.BooleanType()), T.StructField("known", T.IntegerType())]))
+    rows = _records([text])[0]
+    _, start, end = _units(rows, posteriors(model, rows))
+    return [*zip(start.tolist(), end.tolist(), strict=True)]
 
 
-@arrow_udf(_CONTEXT)
-def _contexts(texts: pa.Array) -> pa.Array:
-    out = []
-    for text in texts.to_pylist():
-        out.append([{"kind": c.kind, "l2": c.l2, "l1": c.l1, "r1": c.r1, "r2": c.r2, "near": c.near, "known": c.known} for c in candidates(text)] if text else [])
-    kind = pa.struct([*[(c, pa.string()) for c in ("kind", "l2", "l1", "r1", "r2")], ("near", pa.bool_()), ("known", pa.int32())])
-    return pa.array(out, pa.list_(kind))
+def candidate_table(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, records: all places of each text where the model decides, read once and written to the shared folder.
 
+    Null and empty texts have no row; a blank one has its head only.
+    """
 
-_COUNTS = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("p", T.DoubleType())]))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [r.tobytes() for r in _records(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "records"])
 
+    rows = docs.select("doc_id", F.col(text).alias("text")).filter(F.length("text") > 0)
+    # Texts differ in length: over more parts than cores, the longest ones do not keep one task behind the others.
+    return materialized(fan_out(rows, "doc_id").mapInArrow(read, "doc_id long, records binary"))
 
-def _expected(model: Model | None):  # noqa: ANN202
-    @arrow_udf(_COUNTS)
-    def expected(rows: pa.Array) -> pa.Array:
-        out = []
-        for r in rows.to_pylist():
-            c = Candidate(0, 0, r["kind"], r["known"], r["l2"], r["l1"], r["r1"], r["r2"], r["near"])
-            # A null counts as undecided, which only the first pass, without a model, leaves so.
-            p = float(c.known) if c.known is not None else None if model is None else posteriors(model, [c])[0]
-            out.append([{"key": k, "p": p} for k in _ngrams(c)])
-        return pa.array(out, pa.list_(pa.struct([("key", pa.string()), ("p", pa.float64())])))
 
-    return expected
+def _joined(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("records").to_pylist()), _RECORD)
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
-    """The model of all documents, by expectation-maximisation.
+def _expected(model: Model | None):  # noqa: ANN202
+    """slot, b, no of the n-grams of all records of a task: expected counts with the boundary event and without."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = None if model is None else model.value  # type: ignore[attr-defined]
+        b, no = np.zeros(2 * SLOTS), np.zeros(2 * SLOTS)
+        for batch in batches:
+            rows = _joined(batch)
+            # The first pass sets known boundaries against undecided places; labels, known to be none, join in the second.
+            p = (rows["known"] == 1).astype(np.float64) if told is None else posteriors(told, rows)
+            q = (rows["known"] < 0).astype(np.float64) if told is None else 1.0 - p
+            real = rows["kind"] != _HEAD
+            grams, p, q = rows["grams"][real], p[real], q[real]
+            for at in _slots(_ALL):
+                b[at] += p.sum()
+                no[at] += q.sum()
+            slots = np.concatenate([x.ravel() for x in _slots(grams)])
+            b += np.bincount(slots, np.tile(np.repeat(p, grams.shape[1]), 2), len(b))
+            no += np.bincount(slots, np.tile(np.repeat(q, grams.shape[1]), 2), len(b))
+        at = np.flatnonzero(b + no)
+        for i in range(0, len(at), 200_000):
+            part = at[i : i + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(b[part]), pa.array(no[part])], ["slot", "b", "no"])
+
+    return count
+
+
+def train(table: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model of all documents (candidate_table), by expectation-maximisation.
 
     Known events (blank lines, list items, lines that had room for the next word, labels) seed it; the others start undecided.
-    The counts are of all documents; contexts are counted as types first, so each round passes over types, not texts. The
-    model keeps the MAX_NGRAMS most frequent n-grams, which bounds what reaches the driver and the workers.
+    Each round is one pass over the stored candidates: forward-backward posteriors in numpy, summed by slot within each task,
+    then by counter over all tasks. At most 2 SLOTS rows reach the driver and go out again as a broadcast.
     """
-    seen = docs.filter(F.length(text) > 0).select(F.explode(_contexts(text)).alias("c"))
-    types = spread(materialized(seen.groupBy("c.kind", "c.l2", "c.l1", "c.r1", "c.r2", "c.near", "c.known").agg(F.count("*").alias("n"))), "l2", "r1")
-    model = None
+    spark, model = table.sparkSession, None
     for _ in range(rounds):
-        row = F.struct("kind", "l2", "l1", "r1", "r2", "near", "known")
-        p = F.col("g.p")
-        # The first pass sets known boundaries against undecided places; labels, known to be none, join in the second.
-        no = F.when(p.isNull(), F.col("n")).otherwise(0.0) if model is None else F.col("n") * (1 - p)
-        grams = types.select("n", F.explode(_expected(model)(row)).alias("g")).groupBy("g.key").agg(F.sum(F.col("n") * F.coalesce(p, F.lit(0.0))).alias("b"), F.sum(no).alias("no"), F.sum("n").alias("n"))
-        top = grams.filter(f"n >= {MIN_COUNT}").orderBy(F.desc("n"), "key").limit(MAX_NGRAMS).toPandas()
-        model = Model(dict(zip(top["key"], top["b"], strict=True)), dict(zip(top["key"], top["no"], strict=True)), model is None)
-    return model or Model({}, {})
-
-
-_SPANS = T.ArrayType(T.StructType([T.StructField("sent_start", T.IntegerType()), T.StructField("sent_end", T.IntegerType())]))
-
-
-def split_sentences(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """doc_id, sent_start, sent_end: the sentence units of every document; null, empty and blank texts have none."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @arrow_udf(_SPANS)
-    def spans(texts: pa.Array) -> pa.Array:
-        out = [[{"sent_start": a, "sent_end": b} for a, b in sentence_spans(t, shared.value)] for t in texts.to_pylist()]
-        return pa.array(out, pa.list_(pa.struct([("sent_start", pa.int32()), ("sent_end", pa.int32())])))
-
-    return docs.select("doc_id", F.explode(spans(text)).alias("s")).select("doc_id", "s.*")
+        shared = None if model is None else spark.sparkContext.broadcast(model)
+        sums = table.select("records").mapInArrow(_expected(shared), "slot int, b double, no double").groupBy("slot").agg(F.sum("b").alias("b"), F.sum("no").alias("no"))
+        rows = sums.filter(F.col("b") + F.col("no") >= MIN_COUNT - 1e-6).select("slot", F.col("b").cast("float"), F.col("no").cast("float")).toArrow()
+        b, no = np.zeros(2 * SLOTS, np.float32), np.zeros(2 * SLOTS, np.float32)
+        b[rows["slot"].to_numpy()], no[rows["slot"].to_numpy()] = rows["b"].to_numpy(), rows["no"].to_numpy()
+        model = Model(b, no, model is None)
+    return model or Model.empty()
+
+
+def split_sentences(table: DataFrame, model: Model) -> DataFrame:
+    """doc_id, sent_start, sent_end: the sentence units of every document of a candidate_table; empty and blank texts have none."""
+    shared = table.sparkSession.sparkContext.broadcast(model)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _joined(batch)
+            text, start, end = _units(rows, posteriors(shared.value, rows))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "sent_start", "sent_end"])
+
+    return table.mapInArrow(split, "doc_id long, sent_start int, sent_end int")
