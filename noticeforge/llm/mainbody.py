@@ -31,7 +31,7 @@ FRAME_SHARE, OUTSIDE_SHARE = 0.01, 0.8
 #: What stands before the title of a neighbouring notice, and separators of menus and of the way to a page.
 _NEIGHBOUR = r"(?:이전\s?글|다음\s?글|이전|다음|윗글|아랫글|prev(?:ious)?|next|[▲▼△▽∧∨])\s*[:：|]?\s+\S|^(?:이전글|다음글)\S"
 _MENU_SEP = r"\s+[|·>»›/ㅣ]\s+|\s*[|>»›]\s*"
-_BUTTON = r"목록|인쇄(?:하기)?|글쓰기|수정|삭제|답글|공유(?:하기)?|스크랩|신고|추천|닫기|확인|TOP|맨\s?위로|위로|List|Print|Share|Edit|Delete|Write|Reply|Close"
+_BUTTONS = "목록 인쇄 인쇄하기 글쓰기 수정 삭제 답글 공유 공유하기 스크랩 신고 추천 닫기 확인 top 맨위로 위로 list print share edit delete write reply close".split()
 _PLAIN = frozenset("ul ol dl tr table p center figure blockquote fieldset".split())
 _STRIP = re.compile(r"[\s\d]+")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -174,16 +174,19 @@ def _text_lines(texts: pa.Array) -> pa.Array:
 
 def _text_slice(texts: pa.Array) -> pa.Array:
     sep, blanks = re.compile(_MENU_SEP), re.compile(r"[ \t\r]+")
-    out = []
+    out, known = [], {}
     for text in texts.to_pylist():
         lines = []
         for raw in (text or "").split("\n"):
             line = blanks.sub(" ", raw).strip(" ")
             if line:
                 parts = [p for p in sep.split(line) if p]
-                if len(parts) == 1 and len(line) < 120:
+                if len(parts) == 1:
                     parts = line.split(" ")
-                lines.append({"text": line, "k": line_hash(line), "parts": [line_hash(p) for p in parts] if len(parts) > 1 else []})
+                for p in parts if len(parts) > 1 else ():
+                    if p not in known:
+                        known[p] = line_hash(p)
+                lines.append({"text": line, "k": line_hash(line), "parts": [known[p] for p in parts] if len(parts) > 1 else []})
         out.append(lines)
     return pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("k", pa.int64()), ("parts", pa.list_(pa.int64()))])))
 
@@ -225,11 +228,13 @@ def main_lines(pages: DataFrame, docs: DataFrame) -> DataFrame:
     frame = _frame_lines(bodies).union(site_text.select("host", "k"))
     frames, _ = small_side(frame.groupBy("host").agg(F.collect_set("k").alias("frame")))
     texts = texts.join(frames, "host", "left").withColumn("frame", F.coalesce("frame", F.array().cast("array<bigint>")))
-    menu = (F.size("parts") > 1) & F.forall("parts", lambda p: (p == 0) | F.array_contains("frame", p))
+    # A line of nothing but lost characters tells nothing about menus.
+    lost = F.contains("text", F.lit("\ufffd")) & ~F.exists("parts", lambda p: p != 0)
+    menu = (F.size("parts") > 1) & F.forall("parts", lambda p: (p == 0) | F.array_contains("frame", p)) & ~lost
     way = F.col("text").rlike(r"(?i)^(?:home|홈|ホーム|首页|메인)\s*[>»›]|^[^>]{1,30} > [^>]{1,30} > ")
     neighbour = F.col("text").rlike("(?i)^" + _NEIGHBOUR)
-    # The check of the length comes first: groups that repeat overflow the stack on very long lines.
-    buttons = (F.length("text") < 200) & F.col("text").rlike(rf"(?i)^(?:{_BUTTON})(?:[\s|·/]+(?:{_BUTTON}))*$")
+    labels = F.split(F.regexp_replace(F.lower("text"), r"맨\s위로", "맨위로"), r"[\s|·/]+")
+    buttons = F.forall(labels, lambda w: w.isin(*_BUTTONS))
     kept = texts.filter(~F.array_contains("frame", F.col("k")) & ~menu & ~way & ~neighbour & ~buttons)
     from_texts = kept.select(F.lit("notice_docs").alias("src"), F.col("doc_id").alias("rec_id"), F.col("text").alias("line_text"))
     return from_pages.unionByName(from_texts).distinct()
