@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -352,6 +353,25 @@ class Model(NamedTuple):
         return self.b[at].astype(np.float64), self.n[at].astype(np.float64)
 
 
+class Packed(NamedTuple):
+    """A model as it is sent: the counters that are not zero, with their places."""
+
+    slot: np.ndarray
+    b: np.ndarray
+    n: np.ndarray
+    seed: bool
+
+    def model(self) -> Model:
+        b, n = np.zeros(2 * SLOTS, np.float32), np.zeros(2 * SLOTS, np.float32)
+        b[self.slot], n[self.slot] = self.b, self.n
+        return Model(b, n, self.seed)
+
+
+def packed(model: Model) -> Packed:
+    slot = np.flatnonzero(model.b + model.n).astype(np.int32)
+    return Packed(slot, model.b[slot], model.n[slot], model.seed)
+
+
 def log_odds(model: Model, rows: np.ndarray) -> np.ndarray:
     """log P(event, following words | preceding words) with a boundary over without, by interpolated n-grams, of each record."""
     b, n = model.counts(rows["grams"].T)
@@ -470,11 +490,11 @@ def _joined(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("records").to_pylist()), _RECORD)
 
 
-def _expected(model: Model | None):  # noqa: ANN202
+def _expected(model: Broadcast | None):  # noqa: ANN202
     """slot, b, no of the n-grams of all records of a task: expected counts with the boundary event and without."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = None if model is None else model.value  # type: ignore[attr-defined]
+        told = None if model is None else model.value.model()
         b, no = np.zeros(2 * SLOTS), np.zeros(2 * SLOTS)
         for batch in batches:
             rows = _joined(batch)
@@ -506,10 +526,12 @@ def train(table: DataFrame, rounds: int = ROUNDS) -> Model:
     """
     spark, model = table.sparkSession, None
     for _ in range(rounds):
-        shared = None if model is None else spark.sparkContext.broadcast(model)
+        shared = None if model is None else spark.sparkContext.broadcast(packed(model))
         sums = table.select("records").mapInArrow(_expected(shared), "slot int, b double, no double").groupBy("slot").agg(F.sum("b").alias("b"), F.sum("no").alias("no"))
         rows = sums.filter(F.col("b") + F.col("no") >= MIN_COUNT - 1e-6).select("slot", F.col("b").cast("float"), F.col("no").cast("float")).toArrow()
         b, no = np.zeros(2 * SLOTS, np.float32), np.zeros(2 * SLOTS, np.float32)
+        if shared is not None:
+            shared.destroy()
         b[rows["slot"].to_numpy()], no[rows["slot"].to_numpy()] = rows["b"].to_numpy(), rows["no"].to_numpy()
         model = Model(b, no, model is None)
     return model or Model.empty()
@@ -517,12 +539,13 @@ def train(table: DataFrame, rounds: int = ROUNDS) -> Model:
 
 def split_sentences(table: DataFrame, model: Model) -> DataFrame:
     """doc_id, sent_start, sent_end: the sentence units of every document of a candidate_table; empty and blank texts have none."""
-    shared = table.sparkSession.sparkContext.broadcast(model)
+    shared = table.sparkSession.sparkContext.broadcast(packed(model))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = shared.value.model()
         for batch in batches:
             rows = _joined(batch)
-            text, start, end = _units(rows, posteriors(shared.value, rows))
+            text, start, end = _units(rows, posteriors(told, rows))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "sent_start", "sent_end"])
 
     return table.mapInArrow(split, "doc_id long, sent_start int, sent_end int")
