@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from noticeforge.functions.urls import normalize_url, origin
+from noticeforge.plans.windows import ranked, running_sum
 
 
 def classify_changes(pages: DataFrame, known: DataFrame) -> DataFrame:
@@ -25,15 +26,26 @@ def first_seen(pages: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def round_robin(items: DataFrame, group: str, board: str, position: str, max_items: int = 300) -> DataFrame:
     """items with turn (1..) and place: boards of a group take turns, one item each, at most max_items a board."""
-    turn = F.row_number().over(W.Window.partitionBy(group, board).orderBy(position)).cast("bigint")
-    capped = items.withColumn("turn", turn).filter(F.col("turn") <= max_items)
-    return capped.withColumn("place", F.row_number().over(W.Window.partitionBy(group).orderBy("turn", board)).cast("bigint"))
+    capped = ranked(items, [group, board], [position], "turn").filter(F.col("turn") <= max_items)
+    return ranked(capped, [group], ["turn", board], "place")
 
 
-def within_budget(items: DataFrame, group: str, order: list[str], cost: str, budget: int) -> DataFrame:
-    """The items of each group whose running cost by `order` stays within the budget."""
-    spent = F.sum(cost).over(W.Window.partitionBy(group).orderBy(*order).rowsBetween(W.Window.unboundedPreceding, 0))
-    return items.withColumn("spent", spent).filter(F.col("spent") <= budget)
+def within_budget(items: DataFrame, group: str, order: list[str], cost: str, budget: int, seconds: str | None = None, deadline: float | None = None) -> DataFrame:
+    """The items of each group whose running cost by `order` stays within the budget, and which begin before the deadline.
+
+    `seconds` names a column of the time that each item takes; the deadline counts from the group's first item.
+    """
+    out = running_sum(items, [group], order, F.col(cost), "spent").filter(F.col("spent") <= budget)
+    if seconds is None or deadline is None:
+        return out
+    timed = running_sum(out, [group], order, F.col(seconds), "__until")
+    return timed.filter(F.col("__until") - F.col(seconds) < deadline).drop("__until")
+
+
+def budget_failure(spent: Column, budget: int, begun: Column, deadline: float) -> Column:
+    """struct(stage, error_code, retryable) of an item that was not fetched as the requests or the time were used up; else null."""
+    code = F.when(spent > budget, "MAX_REQUESTS_EXCEEDED").when(begun >= deadline, "TIME_BUDGET_EXCEEDED")
+    return F.when(code.isNotNull(), F.struct(F.lit("budget").alias("stage"), code.alias("error_code"), F.lit(True).alias("retryable")))
 
 
 def early_stop(pages: DataFrame, board: list[str], page: str, unchanged: str) -> DataFrame:

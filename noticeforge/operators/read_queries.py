@@ -9,6 +9,7 @@ from pyspark.sql import window as W
 from noticeforge.catalog import query
 from noticeforge.operators import graph, ingest, quality, rag, vector
 from noticeforge.plans.joins import small_side
+from noticeforge.plans.windows import ranked
 from noticeforge.sources.tables import table
 
 # ---------------------------------------------------------------- schools and attachments
@@ -53,8 +54,8 @@ def query_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT school_id, attachment_id, filename, status, row_number() OVER (PARTITION BY school_id ORDER BY uploaded_at DESC NULLS LAST, attachment_id DESC) AS place
 FROM (SELECT DISTINCT * FROM attachments)""")
 def attachment_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(W.Window.partitionBy("school_id").orderBy(F.desc_nulls_last("uploaded_at"), F.desc("attachment_id"))).cast("bigint")
-    return table(spark, sf_dir, "attachments").distinct().withColumn("place", place).select("school_id", "attachment_id", "filename", "status", "place")
+    order = [F.desc_nulls_last("uploaded_at"), F.desc("attachment_id")]
+    return ranked(table(spark, sf_dir, "attachments").distinct(), ["school_id"], order, "place").select("school_id", "attachment_id", "filename", "status", "place")
 
 
 @query("status_case", """

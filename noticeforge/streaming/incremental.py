@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from noticeforge.operators.crawl import classify_changes
 from noticeforge.operators.store import expire, observe
 
 
@@ -54,3 +55,22 @@ def maintain(observations: DataFrame, docs: VersionedTable, checkpoint: str, mis
             docs.write(expire(observe(docs.read(), batch.select("school_id", "source_url")), F.lit(at), misses), number + 1)
 
     return observations.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def detect(pages: DataFrame, known: VersionedTable, out: str, checkpoint: str) -> StreamingQuery:
+    """Starts the stream of crawled pages (school_id, url, content_hash): each batch is held against all pages before it.
+
+    What a batch's pages are (new, changed or unchanged) goes to a folder of its number in `out`, and its pages join the known
+    ones (of at least these columns). A batch that is replayed after a failure writes what it wrote before. Rows without a hash
+    say nothing and are left out.
+    """
+    columns = ["school_id", "url", "content_hash"]
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch.filter("content_hash is not null").select(*columns).distinct()
+        if number + 1 > known.version():
+            seen = known.read().select(*columns)
+            classify_changes(rows, seen).write.mode("overwrite").parquet(os.path.join(out, f"batch={number}"))
+            known.write(seen.unionByName(rows).distinct(), number + 1)
+
+    return pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

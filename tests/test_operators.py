@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from noticeforge.operators import crawl, graph, quality, rag, store, vector
-from noticeforge.streaming.incremental import VersionedTable, maintain
+from noticeforge.streaming.incremental import VersionedTable, detect, maintain
 
 DOC = "doc_id long, school_id long, source_url string, source_type string, miss_count int, expired_at timestamp"
 
@@ -115,3 +115,36 @@ def test_materialized_tables_are_dropped(spark: SparkSession) -> None:
     assert df.count() == 3 and os.path.isdir(path)
     drop_materialized(spark)
     assert not os.path.isdir(path)
+
+
+def test_running_sums_of_hot_groups(spark: SparkSession) -> None:
+    from noticeforge.plans.windows import ranked, running_sum
+
+    rows = [(None if i % 9 == 0 else 1 if i % 3 else 2, i, i % 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, o int, v int").repartition(7)
+    got = {(r["g"], r["o"]): (r["s"], r["n"]) for r in ranked(running_sum(df, ["g"], ["o"], F.col("v"), "s"), ["g"], [F.desc("o")], "n").collect()}
+    for g in (None, 1, 2):
+        mine = [r for r in rows if r[0] == g]
+        for i, r in enumerate(mine):
+            assert got[g, r[1]] == (sum(x[2] for x in mine[: i + 1]), len(mine) - i)
+    assert ranked(df.limit(0), ["g"], ["o"], "n").count() == 0
+    costs = spark.createDataFrame([(1, 1, 1, 5.0), (1, 2, 1, 5.0), (1, 3, 1, 5.0), (1, 4, 9, 1.0)], "g int, o int, c int, t double")
+    assert sorted(r["o"] for r in crawl.within_budget(costs, "g", ["o"], "c", 3, "t", 9.0).collect()) == [1, 2]
+
+
+def test_stream_detects_changes(spark: SparkSession, tmp_path: Path) -> None:
+    known = VersionedTable(spark, str(tmp_path / "known"))
+    schema = "school_id long, url string, content_hash string"
+    known.write(spark.createDataFrame([(1, "a", "x"), (1, "b", "x")], schema), 0)
+    spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (1, "c", "z"), (1, "d", None)], schema).write.parquet(str(tmp_path / "pages"))
+    detect(spark.readStream.schema(schema).parquet(str(tmp_path / "pages")), known, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert {r["url"]: r["crawl_status"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": "unchanged", "b": "changed", "c": "new"}
+    assert known.version() == 1 and known.read().count() == 4
+
+
+def test_settings(tmp_path: Path) -> None:
+    from noticeforge.sources.settings import load_env
+
+    (tmp_path / "env").write_text("# x\nA=1\nexport B='two words'\nC = 3\nno line\n", "utf-8")
+    env = {"C": "kept"}
+    assert load_env(str(tmp_path / "env"), env) == {"A": "1", "B": "two words"} and env == {"A": "1", "B": "two words", "C": "kept"} and load_env(str(tmp_path / "none"), {}) == {}

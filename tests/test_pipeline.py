@@ -151,3 +151,22 @@ def test_store_tables(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
     row = store.read_table(spark, str(tmp_path), "documents").first()
     assert (row["doc_id"], row["miss_count"], row["source_type"], row["embedding"]) == (1, 0, "web", None)
     assert store.read_table(spark, str(tmp_path), "edges").count() == 0
+
+
+def test_crawl_from_pages_to_graph(spark: SparkSession) -> None:
+    from noticeforge.operators import pipeline
+
+    t = dt.datetime(2026, 1, 1)
+    pages = [(1, 1, "u1", "글 하나", "분", "<main><p>가 팀</p></main>", "h1", t), (2, 1, "u2", "글", None, "<main></main>", "h2", t), (3, 2, "u3", "글", None, "<main><p>나 팀</p></main>", "h3", t), (4, 3, "u4", None, None, "<main></main>", "h4", t)]
+    df = spark.createDataFrame(pages, "page_id long, school_id long, source_url string, title_hint string, category_hint string, raw_html string, content_hash string, fetched_at timestamp")
+    tables = [spark.createDataFrame([], store.SCHEMAS[n]) for n in ("documents", "entities", "edges")]
+    model = models.extractor(lambda: models.pattern_rules({"부서·기관": r"(\w 팀)"}))
+    broken = lambda _: spark.sql("select raise_error('x') as x")
+    out = pipeline.run(df, *tables, model, models.embedder(), check=broken, now=F.lit(t).cast("timestamp"))
+    assert {r["school_id"]: r["status"] for r in out.status.collect()} == {1: "partial_failed", 2: "ready", 3: "failed"} and out.quality is None
+    assert {(r["page_id"], r["error_code"]) for r in out.failures.collect()} == {(2, "EMPTY_CONTENT"), (4, "EMPTY_CONTENT")}
+    assert {r["name"] for r in out.entities.collect()} == {"가 팀", "나 팀", "글 하나", "분"} and out.edges.count() == 1
+    # Nothing changed: nothing is read again, and the missed page's documents count a miss.
+    again = pipeline.run(df.filter("page_id = 1"), out.documents, out.entities, out.edges, model, models.embedder(), check=lambda p: p.groupBy("school_id").count(), misses=1)
+    assert {r["school_id"]: r["status"] for r in again.status.collect()} == {1: "ready"} and again.quality.count() == 1
+    assert again.entities.count() == out.entities.count() and again.documents.count() == 2
