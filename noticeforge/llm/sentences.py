@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -95,34 +96,43 @@ def _right(kind: str, s: str) -> str:
 _PAIRS = dict(zip("“‘「『（([【《<«„‚〈", "”’」』）)]】》>»“‘〉", strict=True))
 
 
-def _enclosed(text: str, tokens: list[tuple[str, int, int]]) -> list[bool]:
-    """Of each token whether a pair of brackets or quotes that closes on its line is still open after it."""
-    steps = [0] * (len(tokens) + 1)
+def _enclosed(text: str, tokens: list[tuple[str, int, int]]) -> list[bool] | None:
+    """Of each token whether a pair of brackets or quotes that closes on its line is still open after it; null if there is none."""
+    steps: dict[int, int] = {}
     opened: list[tuple[str, int]] = []
-    for i, (kind, a, _) in enumerate(tokens):
-        c = text[a]
+    for i, t in enumerate(tokens):
+        kind = t[0]
         if kind == "nl":
             opened = []
         elif kind == "open":
-            opened.append((_PAIRS[c], i))
+            opened.append((_PAIRS[text[t[1]]], i))
         elif kind == "close":
+            c = text[t[1]]
             match = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == c), None)
             if match is not None:
-                steps[opened[match][1]] += 1
-                steps[i] -= 1
+                at = opened[match][1]
+                steps[at] = steps.get(at, 0) + 1
+                steps[i] = steps.get(i, 0) - 1
                 del opened[match:]
             elif c == '"':
                 opened.append((c, i))
-    out, depth = [], 0
-    for step in steps[:-1]:
-        depth += step
-        out.append(depth > 0)
+    if not steps:
+        return None
+    out, depth, last = [False] * len(tokens), 0, 0
+    for i in sorted(steps):
+        if depth > 0:
+            out[last:i] = [True] * (i - last)
+        depth, last = depth + steps[i], i
     return out
 
 
+#: Tokens that are no words.
+_NO_WORD = frozenset(("sp", "open", "close", "end", "nl"))
+
+
 def candidates(text: str) -> list[Candidate]:
     """All places of a text where the model has to decide, in order."""
-    tokens = [(m.lastgroup, m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    tokens = [(m.lastgroup, *m.span()) for m in _TOKEN.finditer(text)]
     n = len(tokens)
     # Lines, and the width to which the lines of their block (up to a blank line) may be broken.
     breaks = [i for i, t in enumerate(tokens) if t[0] == "nl"]
@@ -166,12 +176,21 @@ def candidates(text: str) -> list[Candidate]:
             i += 1
         return (*out, "$", "$")[:2]
 
-    inside = _enclosed(text, tokens)
+    inside = _enclosed(text, tokens) or [False] * n
     found: list[Candidate] = []
-    line, line_start, since = 0, 0, 0
-    i = 0
-    while i < n:
+    line, line_start = 0, 0
+    # Only marks, line breaks and blanks beside Thai may end a unit; words between them are counted.
+    places = [i for i, t in enumerate(tokens) if t[0] == "end" or t[0] == "nl" or t[0] == "thai"]
+    if len(places) > len(breaks) and any(tokens[i][0] == "thai" for i in places):
+        beside = {j for i in places if tokens[i][0] == "thai" for j in (i - 1, i + 1) if 0 < j < n - 1 and tokens[j][0] == "sp"}
+        places = sorted(beside.union(i for i in places if tokens[i][0] != "thai"))
+    words = [*accumulate((t[0] not in _NO_WORD for t in tokens), initial=0)]
+    base, done = 0, 0
+    for i in places:
+        if i < done:
+            continue
         kind, a, b = tokens[i]
+        since = words[i] - base
         if kind == "end":
             j = i + 1
             while j < n and tokens[j][0] == "close" and tokens[j][1] == tokens[j - 1][2]:
@@ -179,15 +198,16 @@ def candidates(text: str) -> list[Candidate]:
             mark = text[a : tokens[j - 1][2]]
             before, after = text[a - 1 : a], text[tokens[j - 1][2] : tokens[j - 1][2] + 1]
             l1, l2 = mark[0] * min(3, len(mark.rstrip("\"'”’」』）)]】》»〉＂>"))) + ("”" if j > i + 1 else ""), words_before(i - 1)[0]
+            done = j
             if j == n or tokens[j][0] == "nl":
-                i = j
                 if j < n:
                     since += 1
                     tokens_nl = tokens[j]
                     at = _break(text, tokens_nl, line, forced, wrapped, l2, l1, words_after(j + 1), "b", since)
                     goes_on = at.known is None and before.isdigit() and _GOES_ON.match(text, tokens_nl[2])
                     found.append(at._replace(known=0) if goes_on else at)
-                    line, line_start, since, i = line + 1, tokens_nl[2], 0, j + 1
+                    line, line_start, done = line + 1, tokens_nl[2], j + 1
+                    base = words[j]
                 continue
             spaced = tokens[j][0] == "sp"
             known = None
@@ -203,23 +223,20 @@ def candidates(text: str) -> list[Candidate]:
                 r1, r2 = words_after(j)
                 start = tokens[j][2] if spaced else tokens[j - 1][2]
                 found.append(Candidate(tokens[j - 1][2], start, "P" if spaced else "p", known, l2, l1, r1, r2, since <= 1))
-                since = 0
-            i = j
+                base = words[j]
             continue
         if kind == "nl":
             l1, l2 = words_before(i - 1)
             found.append(_break(text, tokens[i], line, forced, wrapped, l2, l1, words_after(i + 1), "B", since))
-            line, line_start, since = line + 1, b, 0
-        elif kind == "sp" and i and i + 1 < n and (tokens[i - 1][0] == "thai" or tokens[i + 1][0] == "thai") and tokens[i + 1][0] not in ("close", "end"):
+            line, line_start = line + 1, b
+            base = words[i]
+        elif tokens[i + 1][0] not in ("close", "end"):
             r1, r2 = words_after(i + 1)
             l1, l2 = words_before(i - 1)
             # Nothing ends after a mark that leads on, or within brackets and quotes.
             known = 0 if inside[i] or text[a - 1] in ":,;،-–/" else None
             found.append(Candidate(a, b, "T", known, l2, l1, r1, r2, since <= 1))
-            since = 0
-        elif kind not in ("sp", "open", "close"):
-            since += 1
-        i += 1
+            base = words[i]
     return found
 
 
